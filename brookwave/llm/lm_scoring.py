@@ -3,15 +3,17 @@
 The trie of byte contexts (up to five bytes) is counted over all training documents; a context is a
 node if it makes up at least 1/131072 of what was read, at any size of corpus, so a trie has at most
 131072 nodes per order. For each node the whole distribution of the next byte is worked out once:
-a byte seen there has ``count / (total + distinct)``; the rest, the escape ``distinct / (total + distinct)``,
-goes to the bytes not seen, in proportion to the next shorter context without the seen ones (symbol
+a byte seen there has ``(count - 1/2) / total``; the rest, the escape ``distinct / (2 * total)``, goes to the bytes not seen, in proportion to the next shorter context without the seen ones (symbol
 exclusion). The model is then a table of code lengths by node and byte, sent out once, and a text's
 score is the sum over its words, joined by one blank, and its end. A byte that training lacks is coded
 as such and then evenly among all 256.
 
 The base takes each word's count over all training documents. Words that make up at least 1/65536 of
 the tokens (so 65536 of them at most) are broadcast and summed where the text is read; only the rarer
-ones, of which none can be a hot key, are shuffled, once, to meet their counts. Texts are never shuffled.
+ones, of which none can be a hot key, are shuffled, once, as 64-bit hashes, to meet their counts. Training
+words that share a hash are found beforehand and broadcast with the frequent ones, so their counts stay
+exact; a word that training lacks takes another's hash with a chance of (distinct words) / 2**64. Texts
+are never shuffled.
 
 Defined results: null and empty texts are their end alone; rows with an equal doc_id are scored row by
 row; a null doc_id is never held out; without training rows counts are 0 and bytes are coded evenly.
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,7 @@ ORDER = 5
 NODE_SHARE, WORD_SHARE = 1 << 17, 1 << 16
 END = 256  # the symbol after the last byte; 257 stands for bytes that training lacks
 BITS = 9
+SPREAD = 0x9E3779B97F4A7C15
 FILLER = 511  # no text's symbol: a context ends before it
 FLUSH, PIECE = 4 << 20, 1 << 18
 
@@ -56,6 +60,16 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
+def signed(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(word: bytes) -> int:
+    """Spark's xxhash64 of a binary value."""
+    return signed(xxhash.xxh64_intdigest(word, 42))
+
+
 def grams(stream: np.ndarray, order: int) -> np.ndarray:
     """Each symbol with the ``order`` before it, as one number; the stream begins with ``order`` ends."""
     out = np.zeros(len(stream) - order, np.int64)
@@ -139,8 +153,9 @@ class Trie:
         total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
         left = np.where(count > 0, 0.0, lower)
         mass = left.sum(axis=1, keepdims=True)
-        escape = np.where(mass > 0, distinct / np.maximum(total + distinct, 1), 0.0)
-        p = np.where(count > 0, (1 - escape) * count / np.maximum(total, 1), escape * left / np.where(mass > 0, mass, 1))
+        most = np.maximum(total, 1)
+        escape = np.where(mass > 0, distinct / (2 * most), 0.0)
+        p = np.where(count > 0, (count - np.where(mass > 0, 0.5, 0.0)) / most, escape * left / np.where(mass > 0, mass, 1))
         return np.where(total > 0, p, lower)
 
     def steps(self) -> np.ndarray:
@@ -189,8 +204,8 @@ class Trie:
 
 
 def _scored(trie, known):
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "words", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, model = known.value, trie.value
@@ -205,7 +220,7 @@ def _scored(trie, known):
                     s = sum(n[w] * logs[w] for w in sorted(often))
                     rest = [w for w in n if w not in often]
                     k = sum(n[w] for w in often)
-                    out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [*rest, b" %d" % row], [*(n[w] for w in rest), 0]))
+                    out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [*map(hashed, rest), signed(row * SPREAD)], [*(n[w] for w in rest), 0]))
                     row += 1
                 columns = zip(*out, strict=True) if out else [()] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -223,17 +238,20 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_docs, distinct + (n_docs > 0)  # with the ends
     often = {bytes(r.word): math.log10(r.c + 1) for r in words.where(F.col("c") * WORD_SHARE >= total).collect()} if total else {}
+    twins = words.groupBy(F.xxhash64("word").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    often |= {bytes(r.word): math.log10(r.c + 1) for r in words.join(twins, F.xxhash64("word") == F.col("k"), "left_semi").collect()}
     table = seen.mapInArrow(_counted_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     gram, n = _bounded(table, order)
     trie = sc.broadcast(Trie(gram, n, order))
     known = sc.broadcast(often)
     scored = rows.withColumn("held_out", ~train).select("doc_id", "held_out", "text").mapInArrow(
-        _scored(trie, known), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, words array<binary>, times array<int>"
+        _scored(trie, known), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>, times array<int>"
     )
-    exploded = scored.select("row", F.struct("doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score").alias("s"), F.explode(F.arrays_zip("words", "times")).alias("w"))
-    # a document's own values go with its last place, whose word holds a blank and so is none
-    exploded = exploded.select("row", F.when(F.col("w.times") == 0, F.col("s")).alias("s"), F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    joined = exploded.join(words.withColumnRenamed("word", "w").hint("shuffle_hash"), F.col("word") == F.col("w"), "left")
+    exploded = scored.select("row", F.struct("doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score").alias("s"), F.explode(F.arrays_zip("keys", "times")).alias("w"))
+    # a document's own values go with its last place, which stands for no word
+    exploded = exploded.select("row", F.when(F.col("w.times") == 0, F.col("s")).alias("s"), F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
+    counts = words.where(F.col("c") * WORD_SHARE < total).select(F.xxhash64("word").alias("k"), "c").hint("shuffle_hash")
+    joined = exploded.join(counts, F.col("key") == F.col("k"), "left")
     per = joined.groupBy("row").agg(
         F.max("s").alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_log")
     )
