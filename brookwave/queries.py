@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from brookwave.plans import signals, streams
+
+QUERIES: dict = streams.QUERIES | signals.QUERIES
+SQL: dict = streams.SQL | signals.SQL
