@@ -40,7 +40,6 @@ ORDER = 5
 NODE_SHARE, WORD_SHARE = 1 << 17, 1 << 16
 END = 256  # the symbol after the last byte; 257 stands for bytes that training lacks
 BITS = 9
-SPREAD = 0x9E3779B97F4A7C15
 FILLER = 511  # no text's symbol: a context ends before it
 FLUSH, PIECE = 4 << 20, 1 << 18
 
@@ -204,8 +203,8 @@ class Trie:
 
 
 def _scored(trie, known):
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys", "times"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, model = known.value, trie.value
@@ -220,9 +219,9 @@ def _scored(trie, known):
                     s = sum(n[w] * logs[w] for w in sorted(often))
                     rest = [w for w in n if w not in often]
                     k = sum(n[w] for w in often)
-                    out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [*map(hashed, rest), signed(row * SPREAD)], [*(n[w] for w in rest), 0]))
+                    out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [h for w in rest for h in [hashed(w)] * n[w]]))
                     row += 1
-                columns = zip(*out, strict=True) if out else [()] * 9
+                columns = zip(*out, strict=True) if out else [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
@@ -244,21 +243,16 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     gram, n = _bounded(table, order)
     trie = sc.broadcast(Trie(gram, n, order))
     known = sc.broadcast(often)
-    scored = rows.withColumn("held_out", ~train).select("doc_id", "held_out", "text").mapInArrow(
-        _scored(trie, known), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>, times array<int>"
-    )
-    exploded = scored.select("row", F.struct("doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score").alias("s"), F.explode(F.arrays_zip("keys", "times")).alias("w"))
-    # a document's own values go with its last place, which stands for no word
-    exploded = exploded.select("row", F.when(F.col("w.times") == 0, F.col("s")).alias("s"), F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    counts = words.where(F.col("c") * WORD_SHARE < total).select(F.xxhash64("word").alias("k"), "c").hint("shuffle_hash")
-    joined = exploded.join(counts, F.col("key") == F.col("k"), "left")
-    per = joined.groupBy("row").agg(
-        F.max("s").alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_log")
-    )
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>"
+    scored = stored(rows.withColumn("held_out", ~train).select("doc_id", "held_out", "text").mapInArrow(_scored(trie, known), schema), "scored")
+    counts = words.where(F.col("c") * WORD_SHARE < total).select(F.xxhash64("word").alias("k"), F.log10(F.col("c") + 1).alias("log")).hint("shuffle_hash")
+    exploded = scored.select("row", F.explode("keys").alias("key"))
+    rare = exploded.join(counts, F.col("key") == F.col("k")).groupBy("row").agg(F.count("*").alias("rare_known"), F.sum("log").alias("rare_log"))
+    per = scored.drop("keys").join(rare, "row", "left")
     end_log = math.log10(n_docs + 1)
     return per.select(
-        "s.doc_id", "s.held_out", "s.n_tokens", (F.col("s.n_known") + F.col("rare_known") + int(n_docs > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("s.sum_log") + F.col("rare_log") + end_log - F.col("s.n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "s.score",
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + int(n_docs > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("sum_log") + F.coalesce("rare_log", F.lit(0.0)) + end_log - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "score",
     )
 
 
