@@ -1,6 +1,6 @@
 """Licence scans: known sentences, then ordered rules over their identifiers.
 
-A text is cut into sentences (at line ends, and at . ! ? ; before white space) and each is normalised:
+A text is cut into sentences (at line ends, and at . ! ? ; : before white space) and each is normalised:
 A-Z lowered, everything but letters, digits and + becomes one blank, version numbers keep their dots.
 A sentence that is a known licence sentence becomes its identifier (an exact look-up after the
 normalisation; sentences with a variable part, like a copyright line or an SPDX tag, by
@@ -62,7 +62,7 @@ RULES = (
     ("MPL-2.0", ("mpl-2.0/notice",)), ("CC-BY-NC-4.0", ("cc-by-nc-4.0/notice",)), ("CC-BY-4.0", ("cc-by-4.0/notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-4.0/notice",)), ("CC0-1.0", ("cc0-1.0/notice",)),
     ("All-Rights-Reserved", ("copyright/line", "reserved/notice")), ("SPDX", ("spdx/tag",)),
 )
-CUT = re.compile(r"\n+|(?<=[.!?;:])\s+")
+CUT = re.compile(r"\n+|(?<=[.!?;])\s+|(?<=:)(?<!Identifier:)\s+")
 DROP = re.compile(r"[^a-z0-9+.\u0080-\U0010ffff]+|\.(?![0-9])")
 LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 

@@ -87,14 +87,14 @@ def measured(docs: DataFrame) -> DataFrame:
     counts = F.array(*(F.size("common") - F.size(F.array_remove("common", w)) for w in names))
     c_blank = F.col("size") - F.col("word_chars")
     c_letter = F.greatest(F.col("size") - F.col("c_upper") - F.col("c_digit") - c_blank - F.col("c_stop") - F.col("c_sign"), F.lit(0))
-    classes = F.transform(F.array(c_letter, F.col("c_upper"), F.col("c_digit"), c_blank, F.col("c_stop"), F.col("c_sign")), lambda c: c / F.col("size"))
+    classes = F.transform(F.array(c_letter, F.col("c_upper"), F.col("c_digit"), c_blank, F.col("c_stop"), F.col("c_sign")), lambda c: c / F.greatest(F.col("size"), F.lit(1)))
     rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), classes.alias("classes"), counts.alias("counts"),
     )
 
     def words_of(lang: str) -> Column:
-        shares = F.transform(F.array(*(F.lit(names.index(w)) for w in WORDS[lang])), lambda i: F.get("counts", i) / F.col("n_words"))
+        shares = F.transform(F.array(*(F.lit(names.index(w)) for w in WORDS[lang])), lambda i: F.get("counts", i) / F.greatest(F.col("n_words"), F.lit(1)))
         others = 1 - F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
         return distance(F.concat(shares, F.array(others)), (*WORDS[lang].values(), 1 - sum(WORDS[lang].values())))
 
