@@ -15,7 +15,8 @@ Rows of the work, none of which the driver sees:
    confirm links. Only links of a spanning forest leave the task
 6. components by minimum-label propagation with pointer jumping
 
-Skew: exact copies collapse in step 2 before anything is compared. A key with more members than
+Skew: exact copies collapse in step 2, before the shuffle, and find their component again without
+one (see HEAVY). A key with more members than
 ``block`` is dealt out to tasks by pairs of blocks, so that none holds more than two blocks. The
 number of rows stays linear in the members (sets and signatures move, pairs don't).
 
@@ -41,6 +42,7 @@ SIMILARITY = 85  # in hundredths
 PERMUTATIONS, CHUNKS, CHUNK = 128, 8, 6
 FAR = 38
 BLOCK = 512
+HEAVY = 1000  # sets that hold one in so many rows or more are joined by broadcast: there are at most so many of them
 MEMO = 1_000_000
 _rng = np.random.default_rng(20240229)
 #: Odd multipliers are permutations of 32-bit numbers.
@@ -258,8 +260,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
     some = signed.where("set_id is not null and doc_id is not null")
-    members = some.groupBy("set_id").agg(F.min("doc_id").alias("class"))
-    classes = stored(some.join(members, "set_id").where("doc_id = class").dropDuplicates(["set_id"]).select("class", "signature"), "classes")
+    # equal sets have equal signatures, so any will do; copies combine before the shuffle
+    grouped = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes, members = grouped.select("class", "signature"), grouped.select("set_id", "class", "n")
     filed = classes.mapInArrow(_filed, "key long, place int, class long")
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = filed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
@@ -275,8 +278,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     full = jobs.join(sets, "class").select("job", "class", "shingles")
     links = full.repartition("job").sortWithinPartitions("job", "class").mapInArrow(_confirmed, "a long, b long")
     found = components(links.where("a <> b").distinct())
-    of = members.join(found, members["class"] == found["node"], "left").select(F.col("set_id").alias("sid"), F.coalesce("component", "class").alias("component_id"))
-    out = signed.join(of, signed["set_id"] == of["sid"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = members.join(found, members["class"] == found["node"], "left").where("n > 1 or component is not null")
+    of = stored(of.select(F.col("set_id").alias("sid"), F.coalesce("component", "class").alias("component_id"), F.col("n") * HEAVY >= signed.count()), "of").toDF("sid", "component_id", "heavy")
+    slim = signed.select("doc_id", "n_shingles", "set_id")
+    few = F.broadcast(of.where("heavy").drop("heavy"))  # at most HEAVY rows
+    same = F.col("set_id") == F.col("sid")
+    of_heavy = slim.join(few, same)
+    of_others = slim.where("set_id is not null").join(few, same, "left_anti").join(of.where("not heavy"), same, "left")
+    without = slim.where("set_id is null").withColumn("component_id", F.lit(None).cast("long"))
+    columns = ("doc_id", "n_shingles", "component_id")
+    out = of_heavy.select(*columns).union(of_others.select(*columns)).union(without.select(*columns))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
