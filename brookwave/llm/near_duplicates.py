@@ -43,7 +43,8 @@ PERMUTATIONS, CHUNKS, CHUNK = 128, 8, 6
 FAR = 38
 BLOCK = 512
 HEAVY = 1000  # sets that hold one in so many rows or more are joined by broadcast: there are at most so many of them
-MEMO = 1_000_000
+MEMO = 100_000  # hashes of words that a worker remembers
+BROADCAST = 4_000_000  # doc_ids, of eight bytes each; beyond so many the texts are shuffled
 _rng = np.random.default_rng(20240229)
 #: Odd multipliers are permutations of 32-bit numbers.
 MULTIPLIERS = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -273,7 +274,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     cells = cells.join(classes, "class").select("key", "cell", "place", "half", "class", "signature")
     jobs = stored(cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "half", "class").mapInArrow(_close, "job long, class long"), "jobs")
-    wanted = jobs.select("class").distinct()
+    wanted = stored(jobs.select("class").distinct(), "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
     sets = texts.join(wanted, texts["doc_id"] == wanted["class"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "class long, shingles binary")
     full = jobs.join(sets, "class").select("job", "class", "shingles")
     links = full.repartition("job").sortWithinPartitions("job", "class").mapInArrow(_confirmed, "a long, b long")
