@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookwave.llm.shared import read, stored, utf8
+from brookwave.llm.shared import dropped, read, stored, utf8
 from brookwave.llm.toxicity import held_out
 
 FOLDS, HELD_OUT = 7, 2
@@ -256,25 +256,41 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     )
 
 
+def _cut(nodes: dict[int, np.ndarray], order: int):
+    """Grams with the longest context that is a node; nodes: sorted contexts by their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram = b.column(0).to_numpy()
+            out = (gram & ((1 << BITS) - 1)) | _filler(0, order)
+            for k in range(1, order + 1):
+                if len(nodes[k]):
+                    context = (gram >> BITS) & ((1 << (BITS * k)) - 1)
+                    at = np.minimum(np.searchsorted(nodes[k], context), len(nodes[k]) - 1)
+                    out = np.where(nodes[k][at] == context, (gram & ((1 << (BITS * (k + 1))) - 1)) | _filler(k, order), out)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), b.column(1)], names=["gram", "n"])
+
+    return run
+
+
 def _bounded(table: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counts that the trie needs: grams whose context is a node; the rest summed by the longest context that is one."""
+    """The counts that the trie needs: of each node and symbol, in grams whose longest node it is.
+
+    Contexts are counted by length, each length from the table of the longest; nodes, 131072 a length
+    at most, go to where the grams are cut to them. Lower orders are filled with an impossible context.
+    """
     table = stored(table, "grams")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts, rest = [], table
-    for k in range(order, -1, -1):
-        cut = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1))
-        level = rest.groupBy(cut.alias("gram")).agg(F.sum("n").alias("n"))
-        if not k:
-            parts.append(level)
-            break
-        nodes = table.groupBy(F.shiftright(cut, BITS).alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") * NODE_SHARE >= total)
-        tagged = level.join(nodes, F.shiftright(level["gram"], BITS) == nodes["context"], "left")
-        parts.append(tagged.where("context is not null").select("gram", "n"))
-        rest = tagged.where("context is null").select("gram", "n")
-    # each part holds at most 131072 contexts of 258 symbols; lower orders are filled with an impossible context
-    marked = [p.select("gram", "n", F.lit(order - k).alias("order")).toArrow() for k, p in enumerate(parts)]
-    gram = np.concatenate([m["gram"].to_numpy() | _filler(m["order"][0].as_py() if len(m) else order, order) for m in marked])
-    return gram.astype(np.int64), np.concatenate([m["n"].to_numpy() for m in marked]).astype(np.int64)
+    contexts = stored(table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("m")), "contexts")
+    nodes = {}
+    for k in range(1, order + 1):
+        level = contexts.groupBy(F.col("context").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("context")).agg(F.sum("m").alias("m"))
+        nodes[k] = np.sort(level.where(F.col("m") * NODE_SHARE >= total).select("context").toArrow()["context"].to_numpy())
+    # at most 258 symbols a node
+    cut = table.mapInArrow(_cut(nodes, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    dropped(contexts)
+    dropped(table)
+    return cut["gram"].to_numpy().astype(np.int64), cut["n"].to_numpy().astype(np.int64)
 
 
 def _filler(k: int, order: int) -> int:
