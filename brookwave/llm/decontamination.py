@@ -9,7 +9,8 @@ has none), and word-by-word comparison verifies the rest. Nothing is approximate
 
 Rarity is the frequency over all benchmark items; the order decides the work, never the result.
 The index is broadcast in blocks of at most ``block_bytes`` of item text: a benchmark over that
-is worked off block by block against all documents and the hits are united.
+is worked off block by block against all documents and the hits are united. A window is eight
+bytes of the index, so a block's index is of the order of its text.
 
 Defined results: null texts have no words and no hits; items without words never occur; rows
 with an equal doc_id are judged row by row; items with an equal item_id count once; an empty
@@ -19,14 +20,17 @@ benchmark leaves all documents clean; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookwave.llm.shared import read, utf8
+from brookwave.llm.shared import read, stored, utf8
 
 WINDOW = 8
 BLOCK_BYTES = 16 << 20
@@ -40,32 +44,67 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(KEEP).split()
 
 
-def index_of(items: list[tuple], window: int = WINDOW) -> dict[bytes, list[tuple]]:
-    """Rarest word -> (place of the word in the window, window, ids of the items that have it)."""
-    rows = [(str(i), w) for i, text in items if i is not None and (w := words_of(text))]
-    count = Counter(x for _, w in rows for x in w)
-    owners: dict[tuple, set] = {}
-    for item, w in rows:
-        for s in range(max(1, len(w) - window + 1)):
-            owners.setdefault(tuple(w[s : s + window]), set()).add(item)
-    index: dict[bytes, list[tuple]] = {}
-    for win, ids in owners.items():
-        at = min(range(len(win)), key=lambda k: (count[win[k]], -len(win[k]), win[k], k))
-        index.setdefault(win[at], []).append((at, list(win), frozenset(ids)))
-    return index
-
-
-def occurrences(words: list[bytes], index: dict[bytes, list[tuple]]) -> tuple[set, set]:
+class Index:
+    """Windows under their rarest word: eight bytes each, as a place in the items' words and a place in the window.
+
+    Equal windows are filed once; items that share one are its owners.
+    """
+
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        rows = [(str(i), w) for i, text in items if i is not None and (w := words_of(text))]
+        count = Counter(x for _, w in rows for x in w)
+        rank = {x: k for k, x in enumerate(sorted(count, key=lambda x: (count[x], -len(x), x)))}
+        word = {x: x for x in count}  # one object per word
+        self.window, self.names, self.starts, self.words = window, [n for n, _ in rows], array("q"), []
+        self.under: dict[bytes, array] = {}
+        self.owners: dict[int, frozenset] = {}
+        for _, w in rows:
+            base, ranks = len(self.words), [rank[x] for x in w]
+            self.starts.append(base)
+            self.words += [word[x] for x in w]
+            for s in range(max(1, len(w) - window + 1)):
+                part = ranks[s : s + window]
+                at = part.index(min(part))
+                self.under.setdefault(self.words[base + s + at], array("q")).append((base + s) * window + at)
+        self.starts.append(len(self.words))
+        for rarest, filed in self.under.items():
+            if len(filed) > 1:
+                equal: dict[tuple, list[int]] = {}
+                for place in filed:
+                    item, start, end = self.span(place)
+                    equal.setdefault(tuple(self.words[start:end]), []).append(place)
+                if len(equal) < len(filed):
+                    self.under[rarest] = array("q", [places[0] for places in equal.values()])
+                    for places in equal.values():
+                        if len(places) > 1:
+                            self.owners[places[0]] = frozenset(self.names[self.span(x)[0]] for x in places)
+
+    def span(self, place: int) -> tuple[int, int, int]:
+        """The item that a filed window was seen in first, and where its words start and end."""
+        start = place // self.window
+        item = bisect_right(self.starts, start) - 1
+        return item, start, min(start + self.window, self.starts[item + 1])
+
+    def verified(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, place, item) of each window that the words hold."""
+        n = len(words)
+        if self.under.keys().isdisjoint(words):
+            return
+        for i, w in enumerate(words):
+            for place in self.under.get(w, ()):
+                s = i - place % self.window
+                if s >= 0:
+                    item, start, end = self.span(place)
+                    if s + end - start <= n and words[s : s + end - start] == self.words[start:end]:
+                        yield s, end - start, place, item
+
+
+def occurrences(words: list[bytes], index: Index) -> tuple[set, set]:
     """Spans (start, length) of verified windows, and the ids of their items."""
-    spans, ids, n = set(), set(), len(words)
-    if index.keys().isdisjoint(words):
-        return spans, ids
-    for i, w in enumerate(words):
-        for at, win, owners in index.get(w, ()):
-            s = i - at
-            if s >= 0 and s + len(win) <= n and words[s : s + len(win)] == win:
-                spans.add((s, len(win)))
-                ids |= owners
+    spans, ids = set(), set()
+    for s, n, place, item in index.verified(words):
+        spans.add((s, n))
+        ids |= index.owners.get(place) or {index.names[item]}
     return spans, ids
 
 
@@ -128,22 +167,45 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: its words, the words hit, and the items it holds windows of."""
-    sc = docs.sparkSession.sparkContext
+def _indexes(items: DataFrame, block_bytes: int) -> list:
+    """For each block of items: a function that makes its index and sends it out."""
+    sc = items.sparkSession.sparkContext
     items = items.select("item_id", F.col("text").alias("item_text"))
     size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    part = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks))
+    return [lambda k=k: sc.broadcast(Index([tuple(r) for r in items.where(part == k).collect()])) for k in range(blocks)]
+
+
+def without_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that hold no window of any item, with their columns.
+
+    Each row is judged by its own text, whatever its doc_id: one pass and no shuffle. Items of more
+    than a block take a pass per block, each over what the one before has left.
+    """
+    for k, made in enumerate(_indexes(items, block_bytes)):
+        docs = (stored(docs, "decontaminated") if k else docs).where(~_holds(made())(F.col("text").cast("string")))
+    return docs
+
+
+def _holds(index):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(index.value.verified(words_of(x)), None) is not None for x in texts], dtype="bool")
+
+    return holds
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: its words, the words hit, and the items it holds windows of."""
+    indexes = _indexes(items, block_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if blocks == 1:
-        index = sc.broadcast(index_of([tuple(r) for r in items.collect()]))
-        return rows.mapInArrow(_judged(index, min_items), SCHEMA)
+    if len(indexes) == 1:
+        return rows.mapInArrow(_judged(indexes[0](), min_items), SCHEMA)
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     found = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == k)
-        index = sc.broadcast(index_of([tuple(r) for r in part.collect()]))
-        now = hashed.mapInArrow(_found(index), FOUND)
+    for made in indexes:
+        now = hashed.mapInArrow(_found(made()), FOUND)
         found = now if found is None else found.unionByName(now)
     keys = ["doc_id", "text_hash", "n_words"]
     # rows of one document that are equal find the same: one of each block is enough

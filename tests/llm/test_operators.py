@@ -312,3 +312,8 @@ def test_decontamination(spark, block_bytes):
     got = sorted((r.doc_id, (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in decontamination.decontaminate(d, b, block_bytes=block_bytes).collect())
     assert got == sorted((i, brute_hits(t, items)) for i, t in texts)
     assert decontamination.decontaminate(d, b.limit(0)).where("n_hit > 0").count() == 0
+    d = frame(spark, [*texts, (None, mixed), (None, "clean")])
+    left = decontamination.without_items(d, b, block_bytes=block_bytes)
+    assert left.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(i, t or "") for i, t in texts if not brute_hits(t, items)[2]] + [(0, "clean")])
+    assert decontamination.without_items(d, b.limit(0)).count() == len(texts) + 2
