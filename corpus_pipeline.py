@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookwave.llm.decontamination import decontaminate
+from brookwave.llm.decontamination import without_items
 from brookwave.llm.near_duplicates import near_duplicates
 from brookwave.llm.packing import default_tokenizer, pack
 from brookwave.llm.quality_classifier import of_quality
@@ -36,8 +36,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontaminate(docs, read(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return without_items(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
