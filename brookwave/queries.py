@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brookwave.plans import signals, streams
+from brookwave.plans import signals, streams, studies
 
-QUERIES: dict = streams.QUERIES | signals.QUERIES
-SQL: dict = streams.SQL | signals.SQL
+QUERIES: dict = streams.QUERIES | signals.QUERIES | studies.QUERIES
+SQL: dict = streams.SQL | signals.SQL | studies.SQL
