@@ -1,4 +1,5 @@
 import hashlib
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,34 @@ def test_planes_at_their_edges(spark):
     one = spark.range(1).select(F.expr("array(0f, 0f, 0f)").alias("z"), F.expr("array(1f, 2f, 4f)").alias("x"))
     got = one.select(T.leading_quiet(F.col("z")), T.leading_quiet(F.col("x")), T.coherence(F.col("z"), F.col("x")), T.overlap(F.col("x"), F.col("x"), F.lit(5)).alias("o"), T.coupled(F.col("x"), F.expr("array(1f)"), F.expr("array(0.5d)"))).first()
     assert tuple(got)[:3] == (3, 0, 1.0) and got.o.a == [] and got[4] == [1.5, 2.0, 4.0]
+
+
+def test_bootstrap_medians_equal_the_loop(spark):
+    runs = {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        if r.value is not None:
+            runs.setdefault(r.user_id, []).append(r.value)
+    got = {r.user_id: r for r in studies.bootstrap_medians(spark, SF).collect()}
+    assert got.keys() == runs.keys()
+    for user in sorted(runs, key=lambda u: len(runs[u]))[:6]:
+        x, state, medians = runs[user], 0x9E3779B9, []
+        for _ in range(1000):
+            drawn = []
+            for _ in x:
+                state = (state * 6364136223846793005 + 1) % (1 << 64)
+                drawn.append(x[state % len(x)])
+            medians.append(statistics.median(drawn))
+        medians.sort()
+        assert (got[user].n, got[user].lo, got[user].hi) == (len(x), medians[25], medians[974])
+
+
+def test_resamples_do_not_depend_on_how_many_are_held(monkeypatch):
+    import numpy as np
+
+    from brookwave.operators import resampling
+
+    x = np.random.default_rng(5).normal(size=37)
+    whole = resampling.median_interval(x)
+    monkeypatch.setattr(resampling, "DRAWS", 100)
+    assert resampling.median_interval(x) == whole
+    assert all(np.isnan(resampling.median_interval(x[:0])))
