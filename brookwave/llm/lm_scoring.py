@@ -1,19 +1,21 @@
 """LM scoring: prediction by partial matching over bytes, and a word-frequency base.
 
-The trie of byte contexts (up to five bytes) is counted over all training documents; a context is a
-node if it makes up at least 1/131072 of what was read, at any size of corpus, so a trie has at most
-131072 nodes per order. For each node the whole distribution of the next byte is worked out once:
-a byte seen there has ``(count - 1/2) / total``; the rest, the escape ``distinct / (2 * total)``, goes to the bytes not seen, in proportion to the next shorter context without the seen ones (symbol
-exclusion). The model is then a table of code lengths by node and byte, sent out once, and a text's
-score is the sum over its words, joined by one blank, and its end. A byte that training lacks is coded
-as such and then evenly among all 256.
+Every context of up to five bytes that training holds is in the model, at any size of corpus: a table of
+counts by context and next byte, one for each length of context. A byte seen after a context has
+``(count - 1/2) / total``; the rest, the escape ``distinct / (2 * total)``, goes to the bytes not seen, in
+proportion to the next shorter context without the seen ones (symbol exclusion); a context that training
+lacks takes the next shorter one. The tables also hold what occurs in the scored texts alone, with a count
+of 0, so each length is one join with the shorter one and one window over the context, and the last table has the code length of
+every place of every text. Texts are scored in blocks of about 16 MB: the distinct places of a block are
+joined with the table and meet the block's texts. A score is the sum over a text's words, joined by one blank, and its
+end. A byte that training lacks is coded as such and then evenly among all 256.
 
 The base takes each word's count over all training documents. Words that make up at least 1/65536 of
 the tokens (so 65536 of them at most) are broadcast and summed where the text is read; only the rarer
 ones, of which none can be a hot key, are shuffled, once, as 64-bit hashes, to meet their counts. Training
 words that share a hash are found beforehand and broadcast with the frequent ones, so their counts stay
 exact; a word that training lacks takes another's hash with a chance of (distinct words) / 2**64. Texts
-are never shuffled.
+are shuffled once, by block.
 
 Defined results: null and empty texts are their end alone; rows with an equal doc_id are scored row by
 row; a null doc_id is never held out; without training rows counts are 0 and bytes are coded evenly.
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brookwave.llm.shared import dropped, read, stored, utf8
@@ -37,11 +39,11 @@ from brookwave.llm.toxicity import held_out
 
 FOLDS, HELD_OUT = 7, 2
 ORDER = 5
-NODE_SHARE, WORD_SHARE = 1 << 17, 1 << 16
+WORD_SHARE = 1 << 16
 END = 256  # the symbol after the last byte; 257 stands for bytes that training lacks
 BITS = 9
 FILLER = 511  # no text's symbol: a context ends before it
-FLUSH, PIECE = 4 << 20, 1 << 18
+FLUSH, PIECE, BLOCK = 4 << 20, 1 << 18, 16 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -77,40 +79,74 @@ def grams(stream: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _stream(raw: bytes, order: int) -> np.ndarray:
+    return np.concatenate([np.full(order, END, np.int64), np.frombuffer(raw, np.uint8), [END]])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their words, with a number of their own and that of the part they are in."""
+    first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+    row, part, held = first, first, 0
+    for b in batches:
+        raws, parts = [], []
+        for text in b.column(2).to_pylist():
+            raws.append(b" ".join(tokens_of(text)))
+            parts.append(part)
+            held += len(raws[-1]) + 1
+            if held >= BLOCK:
+                part, held = part + 1, 0
+        rows = pa.array(range(row, row + b.num_rows), pa.int64())
+        row += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), rows, b.column(0), b.column(1), pa.array(raws, pa.binary())], names=["part", "row", "doc_id", "held_out", "raw"])
+
+
 def _counted_grams(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Distinct grams of each block, as far as a task holds it, with their count in training rows."""
 
-        def with_(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(parts), return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        keys, counts, parts, held, block = none, none, [], 0, None
+
+        def with_() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate([g << 1 | t for g, t in parts]), return_counts=True)
+            n, new = n * (new & 1), new >> 1
+            first = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            found, n = new[first], np.add.reduceat(n, first)
+            both, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
             return both, np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
 
-        parts, held = [], 0
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 100_000):
+                k = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k), pa.array(counts[at : at + 100_000])], names=["block", "gram", "n"])
+
         for b in batches:
-            for text in b.column(0).to_pylist():
-                raw = b" ".join(tokens_of(text))
-                parts.append(grams(np.concatenate([np.full(order, END, np.int64), np.frombuffer(raw, np.uint8), [END]]), order))
+            for now, unseen, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if now != block or held > FLUSH:
+                    if parts:
+                        keys, counts = with_()
+                        parts, held = [], 0
+                    if now != block:
+                        yield from out()
+                        keys, counts, block = none, none, now
+                parts.append((grams(_stream(raw, order), order), unseen is False))
                 held += len(raw) + 1
-                if held > FLUSH:
-                    keys, counts = with_(parts)
-                    parts, held = [], 0
         if parts:
-            keys, counts = with_(parts)
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], names=["gram", "n"])
+            keys, counts = with_()
+        yield from out()
 
     return run
 
 
 class Trie:
-    """Code lengths (log10 of probabilities) by node and next symbol.
+    """The model in memory, which the tables are tested against: code lengths (log10 of probabilities) by node and next symbol.
 
+    A context is a node if it makes up at least 1/share of what was read; by default every one is.
     symbol: byte or END -> place in the alphabet; the alphabet's last place is for bytes unseen.
     child: node and the symbol before it -> the longer node, or -1; the root is node 0.
     """
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER, share: int = NODE_SHARE):
+    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER, share: int = 1 << 62):
         self.order = order
         last = gram & ((1 << BITS) - 1)
         seen = np.union1d(last, [END]).astype(np.int64)
@@ -202,34 +238,32 @@ class Trie:
             out[i] += sums[end - self.order] - sums[end - len(x)]
 
 
-def _scored(trie, known):
+def _scored(known, order: int):
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, model = known.value, trie.value
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, out = b.slice(at, 500), []
-                texts = part.column(2).to_pylist()
-                for doc_id, held, text, score in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, model.scores(texts).tolist(), strict=True):
-                    n = Counter(tokens_of(text))
-                    often = n.keys() & logs.keys()
-                    s = sum(n[w] * logs[w] for w in sorted(often))
-                    rest = [w for w in n if w not in often]
-                    k = sum(n[w] for w in often)
-                    out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [h for w in rest for h in [hashed(w)] * n[w]]))
-                    row += 1
-                columns = zip(*out, strict=True) if out else [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    def run(texts: pa.Table, lengths: pa.Table) -> pa.Table:
+        logs, out = known.value, []
+        gram, length = lengths.column("gram").to_numpy(), lengths.column("length").to_numpy()
+        sort = np.argsort(gram)
+        gram, length = gram[sort], length[sort]
+        for row, doc_id, held, raw in zip(*(texts.column(x).to_pylist() for x in ("row", "doc_id", "held_out", "raw")), strict=True):
+            n = Counter(raw.split())
+            often = n.keys() & logs.keys()
+            s = sum(n[w] * logs[w] for w in sorted(often))
+            rest = [w for w in n if w not in often]
+            k = sum(n[w] for w in often)
+            score = float(length[np.searchsorted(gram, grams(_stream(raw, order), order))].sum())
+            out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [h for w in rest for h in [hashed(w)] * n[w]]))
+        columns = zip(*out, strict=True) if out else [()] * 8
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
 def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     """docs: doc_id, text. train: a condition on their columns. One row per document."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = rows.where(train).select("text")
     n_docs = seen.count()
@@ -239,12 +273,18 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     often = {bytes(r.word): math.log10(r.c + 1) for r in words.where(F.col("c") * WORD_SHARE >= total).collect()} if total else {}
     twins = words.groupBy(F.xxhash64("word").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
     often |= {bytes(r.word): math.log10(r.c + 1) for r in words.join(twins, F.xxhash64("word") == F.col("k"), "left_semi").collect()}
-    table = seen.mapInArrow(_counted_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    gram, n = _bounded(table, order)
-    trie = sc.broadcast(Trie(gram, n, order))
-    known = sc.broadcast(often)
+    texts = _texts(rows.select("doc_id", (~train).alias("held_out"), "text"))
+    found = texts.select("block", "held_out", "raw").mapInArrow(_counted_grams(order), "block long, gram long, n long")
+    table = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    p = code_lengths(table, order)
+    dropped(table)
+    spark._jvm.System.gc()  # what was shuffled so far leaves the disks
+    places = found.select("block", "gram").join(p.hint("shuffle_hash"), "gram").select("block", "gram", "length")
+    known = spark.sparkContext.broadcast(often)
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>"
-    scored = stored(rows.withColumn("held_out", ~train).select("doc_id", "held_out", "text").mapInArrow(_scored(trie, known), schema), "scored")
+    scored = stored(texts.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_scored(known, order), schema), "scored")
+    for x in (p, texts.parts):
+        dropped(x)
     counts = words.where(F.col("c") * WORD_SHARE < total).select(F.xxhash64("word").alias("k"), F.log10(F.col("c") + 1).alias("log")).hint("shuffle_hash")
     exploded = scored.select("row", F.explode("keys").alias("key"))
     rare = exploded.join(counts, F.col("key") == F.col("k")).groupBy("row").agg(F.count("*").alias("rare_known"), F.sum("log").alias("rare_log"))
@@ -256,46 +296,44 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     )
 
 
-def _cut(nodes: dict[int, np.ndarray], order: int):
-    """Grams with the longest context that is a node; nodes: sorted contexts by their length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gram = b.column(0).to_numpy()
-            out = (gram & ((1 << BITS) - 1)) | _filler(0, order)
-            for k in range(1, order + 1):
-                if len(nodes[k]):
-                    context = (gram >> BITS) & ((1 << (BITS * k)) - 1)
-                    at = np.minimum(np.searchsorted(nodes[k], context), len(nodes[k]) - 1)
-                    out = np.where(nodes[k][at] == context, (gram & ((1 << (BITS * (k + 1))) - 1)) | _filler(k, order), out)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), b.column(1)], names=["gram", "n"])
-
-    return run
-
-
-def _bounded(table: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counts that the trie needs: of each node and symbol, in grams whose longest node it is.
-
-    Contexts are counted by length, each length from the table of the longest; nodes, 131072 a length
-    at most, go to where the grams are cut to them. Lower orders are filled with an impossible context.
-    """
-    table = stored(table, "grams")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    contexts = stored(table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("m")), "contexts")
-    nodes = {}
-    for k in range(1, order + 1):
-        level = contexts.groupBy(F.col("context").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("context")).agg(F.sum("m").alias("m"))
-        nodes[k] = np.sort(level.where(F.col("m") * NODE_SHARE >= total).select("context").toArrow()["context"].to_numpy())
-    # at most 258 symbols a node
-    cut = table.mapInArrow(_cut(nodes, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    dropped(contexts)
-    dropped(table)
-    return cut["gram"].to_numpy().astype(np.int64), cut["n"].to_numpy().astype(np.int64)
+def _texts(rows: DataFrame) -> DataFrame:
+    """Texts as their words, with the block they are in: parts of tasks, put together to about BLOCK bytes."""
+    parts = stored(rows.mapInArrow(_blocked, "part long, row long, doc_id long, held_out boolean, raw binary"), "texts")
+    at, blocks = 0, []
+    for r in sorted(parts.groupBy("part").agg(F.sum(F.length("raw") + 1).alias("size")).collect()):
+        blocks.append((r.part, at // BLOCK))
+        at += r.size
+    of = F.broadcast(rows.sparkSession.createDataFrame(blocks, "part long, block long"))
+    out = parts.join(of, "part").drop("part")
+    out.parts = parts
+    return out
 
 
-def _filler(k: int, order: int) -> int:
-    """FILLER before a context of k symbols."""
-    return ((1 << (BITS * (order + 1))) - 1) ^ ((1 << (BITS * (k + 1))) - 1)
+def code_lengths(table: DataFrame, order: int) -> DataFrame:
+    """gram, n (its count in training, 0 if only scored texts hold it) -> gram, length (log10 of the probability of its last symbol)."""
+    levels = {order: table}
+    for k in range(order - 1, -1, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("gram")
+        levels[k] = stored(levels[k + 1].groupBy(short).agg(F.sum("n").alias("n")), f"level-{k}")
+    trained = {r.gram for r in levels[0].where("n > 0").collect()} | {END}
+    even = 1 / (len(trained) + 1)  # the last place is for bytes unseen
+    p = levels[0].select("gram", F.when(F.col("gram").isin(sorted(trained)), even).otherwise(even / 256).alias("p"))
+    for k in range(order + 1):
+        if k:
+            shorter = p.select(F.col("gram").alias("short"), "p")
+            here = levels[k].join(shorter.hint("shuffle_hash"), levels[k]["gram"].bitwiseAND(F.lit((1 << (BITS * k)) - 1)) == F.col("short")).drop("short")
+        else:
+            here = levels[0].join(p, "gram")
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        all_, distinct = F.sum("n").over(context), F.sum((F.col("n") > 0).cast("long")).over(context)
+        left = F.greatest(1 - F.sum(F.when(F.col("n") > 0, F.col("p")).otherwise(0.0)).over(context), F.lit(1e-12))  # over 0 but for rounding
+        here = here.select("gram", "n", "p", all_.alias("all"), distinct.alias("distinct"), left.alias("left"))
+        new = F.when(F.col("all") == 0, F.col("p")).when(F.col("n") > 0, (F.col("n") - 0.5) / F.col("all")).otherwise(F.col("distinct") / (2 * F.col("all")) * F.col("p") / F.col("left"))
+        last, p = p, stored(here.select("gram", (new if k < order else F.log10(new)).alias("p" if k < order else "length")), f"p-{k}")
+        dropped(last)
+        if k < order:
+            dropped(levels[k])
+    return p
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brookwave.llm import chat_formatting, decontamination, licences, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, toxicity, url_filters
 from tests.comparing import SF
@@ -108,6 +109,23 @@ def test_lm_awkward(spark):
     assert lm_scoring.lm_scores(frame(spark, AWKWARD).limit(0), ~toxicity.held_out("doc_id", 7, 2)).count() == 0
 
 
+def test_every_context_of_training_counts(spark, monkeypatch):
+    """The tables equal the model in memory with every context, however small its share; held-out bytes that training lacks too."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)
+    rare = [(i, f"{prose(i, 200)} q{i}x") for i in range(1, 60)] + [(101, "zü q5x bado"), (102, ""), (103, None), (104, LONG)]
+    train = ~toxicity.held_out("doc_id", 7, 2)
+    d = frame(spark, rare)
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(d, train).collect()}
+    stream = [lm_scoring.grams(lm_scoring._stream(b" ".join(lm_scoring.tokens_of(t)), 5), 5) for i, t in rare if not got[i].held_out]
+    trie = lm_scoring.Trie(*np.unique(np.concatenate(stream), return_counts=True))
+    assert any(r.held_out for r in got.values()) and len(got) == len(rare)
+    assert [got[i].score for i, _ in rare] == pytest.approx(trie.scores([t for _, t in rare]).tolist(), rel=1e-5)
+    # one rare word among more than 131072 times as many bytes still is a context
+    many = [(i, "ba " * 50_000) for i in range(1, 8)] + [(8, "quixotic"), (9, "quixotic"), (10, "quixotix")]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, many), F.col("doc_id") < 9).collect()}
+    assert got[9] > got[10] and got[9] > -12
+
+
 def expected_rules(t):
     w = words_of(t)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
