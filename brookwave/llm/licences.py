@@ -1,12 +1,13 @@
 """Licence scans: known sentences, then ordered rules over their identifiers.
 
 A text is cut into sentences (at line ends, and at . ! ? ; : before white space) and each is normalised:
-A-Z lowered, everything but letters, digits and + becomes one blank, version numbers keep their dots.
-A sentence that is a known licence sentence becomes its identifier (an exact look-up after the
-normalisation; sentences with a variable part, like a copyright line or an SPDX tag, by
-their fixed beginning). A rule is a sequence of identifiers that must follow each other in this order
-with at most ``GAP`` other sentences between neighbours; of the rules that start at a sentence the longest
-wins, and matches of one text do not overlap. One pass over whole texts, no shuffle.
+A-Z lowered, everything but letters, digits and + becomes one blank (comment marks too), version numbers keep
+their dots. Sentences that together make a known licence sentence become its identifier, so one that is wrapped at a
+column or holds inner stops is known as a whole (an exact look-up after the normalisation, the longest first;
+sentences with a variable part, like a copyright line or an SPDX tag, by their fixed beginning). A rule is a
+sequence of identifiers that must follow each other in this order with at most ``GAP`` other sentences
+between neighbours. Of the rules that start
+at a sentence the longest wins, and matches of one text do not overlap. One pass over whole texts, no shuffle.
 
 Defined results: null and empty texts have no sentence and no licence; a text may hold several; rows
 with an equal doc_id are scanned row by row; other columns are ignored.
@@ -63,7 +64,8 @@ RULES = (
     ("All-Rights-Reserved", ("copyright/line", "reserved/notice")), ("SPDX", ("spdx/tag",)),
 )
 CUT = re.compile(r"\n+|(?<=[.!?;])\s+|(?<=:)(?<!Identifier:)\s+")
-DROP = re.compile(r"[^a-z0-9+.\u0080-\U0010ffff]+|\.(?![0-9])")
+DROP = re.compile(r"(?:[^a-z0-9+.\u0080-\U0010ffff]+|\.(?![0-9]))+")
+FIRST = re.compile(r"[^A-Za-z0-9+\u0080-\U0010ffff]*([A-Za-z0-9+\u0080-\U0010ffff]*)")
 LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -81,54 +83,58 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-def _split_known() -> dict[str, tuple[str, ...]]:
-    """Normalised sentence -> its id; one that holds inner stops is known by each of its parts, in order."""
-    known = {}
-    for name, text in SENTENCES.items():
-        parts = [normalised(text[a:b]) for a, b in sentences(text)]
-        for k, p in enumerate(parts):
-            known[p] = name if len(parts) == 1 else f"{name}#{k}"
-    return known
-
-
-KNOWN = _split_known()
-PARTS = {name: [f"{name}#{k}" for k in range(n)] if (n := len(sentences(text))) > 1 else [name] for name, text in SENTENCES.items()}
-SEQUENCES = sorted(((licence, [p for i in ids for p in PARTS.get(i, [i])]) for licence, ids in RULES), key=lambda r: (-len(r[1]), r[0]))
+KNOWN = {normalised(w): name for name, text in SENTENCES.items() for w in (text,)}
+#: What a known sentence can begin with, up to its last word but one.
+PREFIXES = {" ".join(words[:k]) for words in map(str.split, KNOWN) for k in range(1, len(words))}
+#: First words of all that can be known.
+FIRSTS = {x.split()[0] for x in (*KNOWN, *(y for starts in BEGINNINGS.values() for y in starts))}
 STARTS: dict[str, list] = {}
-for _rule in SEQUENCES:
+for _rule in sorted(RULES, key=lambda r: (-len(r[1]), r[0])):
     STARTS.setdefault(_rule[1][0], []).append(_rule)
-#: A sentence without one of these can't be a known one: all that is normalised holds it.
-HINT = re.compile(r"licen|permi|copyright|redistribut|warrant|rights|neither the name|you may", re.I)
 
 
-def identified(sentence: str) -> str | None:
-    """The identifier of a sentence."""
-    if not HINT.search(sentence):
-        return None
-    words = normalised(sentence)
-    return KNOWN.get(words) or next((k for k, starts in BEGINNINGS.items() if words.startswith(starts)), None)
+def _known(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(first span, last span, identifier) of the known sentences."""
+    out, at = [], 0
+    while at < len(spans):
+        a, b = spans[at]
+        end = at
+        if FIRST.match(text, a, b)[1].translate(LOWER) in FIRSTS:
+            words, last, found = normalised(text[a:b]), at, None
+            while True:
+                if words in KNOWN:
+                    end, found = last, KNOWN[words]
+                last += 1
+                if words not in PREFIXES or last == len(spans):
+                    break
+                words = f"{words} {normalised(text[slice(*spans[last])])}".strip()
+            if not found:
+                words = normalised(text[a:b])
+                found = next((k for k, starts in BEGINNINGS.items() if words.startswith(starts)), None)
+            if found:
+                out.append((at, end, found))
+        at = end + 1
+    return out
 
 
 def scan(text: str | None) -> tuple[int, list[str], list[tuple[str, int, int]]]:
     """Sentences of the text, the known ones' identifiers, and (licence, start, end) of the matches."""
-    if not text or not HINT.search(text):
-        return len(sentences(text)), [], []
     spans = sentences(text)
-    found = [(k, i) for k, (a, b) in enumerate(spans) if (i := identified(text[a:b]))]
+    found = _known(text, spans) if spans else []
     out, at = [], 0
     while at < len(found):
-        for licence, sequence in STARTS.get(found[at][1], ()):
+        for licence, sequence in STARTS.get(found[at][2], ()):
             end, j = at, 1
-            while j < len(sequence) and end + 1 < len(found) and found[end + 1][1] == sequence[j] and found[end + 1][0] - found[end][0] <= GAP + 1:
+            while j < len(sequence) and end + 1 < len(found) and found[end + 1][2] == sequence[j] and found[end + 1][0] - found[end][1] <= GAP + 1:
                 end, j = end + 1, j + 1
             if j == len(sequence):
-                a, b = spans[found[at][0]][0], spans[found[end][0]][1]
+                a, b = spans[found[at][0]][0], spans[found[end][1]][1]
                 name = text[a:b].rpartition(":")[2].strip() or licence if licence == "SPDX" else licence
                 out.append((name, a, b))
                 at = end
                 break
         at += 1
-    return len(spans), [i for _, i in found], out
+    return len(spans), [x[2] for x in found], out
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,13 @@ def test_licences(spark):
     assert licences.scan_licences(d).count() == len(AWKWARD) + 5
 
 
+@pytest.mark.parametrize("licence, ids", licences.RULES)
+def test_each_licence_rule_on_its_own_text(licence, ids):
+    variable = {"copyright/line": "Copyright (c) 2020 A B", "spdx/tag": "SPDX-License-Identifier: SPDX"}
+    n, found, got = licences.scan("Words.\n" + "\n".join(variable.get(i) or licences.SENTENCES[i].rstrip(":") + "." for i in ids))
+    assert found == list(ids) and [x[0] for x in got] == [licence]
+
+
 def test_lm_scores(spark, documents, texts):
     train = ~toxicity.held_out("doc_id", 7, 2)
     got = lm_scoring.lm_scores(documents, train).collect()
