@@ -6,7 +6,7 @@ their dots. Sentences that together make a known licence sentence become its ide
 column or holds inner stops is known as a whole (an exact look-up after the normalisation, the longest first;
 sentences with a variable part, like a copyright line or an SPDX tag, by their fixed beginning). A rule is a
 sequence of identifiers that must follow each other in this order with at most ``GAP`` other sentences
-between neighbours. Of the rules that start
+between neighbours; enumerators, bare comment marks and continued lines are not counted. Of the rules that start
 at a sentence the longest wins, and matches of one text do not overlap. One pass over whole texts, no shuffle.
 
 Defined results: null and empty texts have no sentence and no licence; a text may hold several; rows
@@ -42,6 +42,8 @@ SENTENCES = {
     "mit/include": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "isc/grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "bsd/grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd/source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd/binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd/no-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd/as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     "mpl-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -51,6 +53,8 @@ SENTENCES = {
     "cc0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "reserved/notice": "All rights reserved",
 }
+#: Other wordings of known sentences.
+WORDINGS = {"apache-2.0/notice": ("Licensed under the Apache License, Version 2.0 (the \"License\")",)}
 #: Sentences with a variable part: their fixed beginning. An SPDX tag's own value is its licence.
 BEGINNINGS = {"copyright/line": ("copyright c ", "copyright 1", "copyright 2"), "spdx/tag": ("spdx license identifier ",)}
 #: Licences as ordered rules over sentence identifiers.
@@ -60,16 +64,21 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl/redistribute-2",)), ("GPL-2.0-or-later", ("gpl/redistribute-2", "gpl/no-warranty")),
     ("MIT", ("mit/notice",)), ("MIT", ("mit/title",)), ("MIT", ("mit/grant", "mit/include")), ("MIT", ("mit/title", "copyright/line", "mit/grant", "mit/include")),
     ("ISC", ("isc/grant",)), ("BSD-2-Clause", ("bsd/grant", "bsd/as-is")), ("BSD-3-Clause", ("bsd/grant", "bsd/no-endorse", "bsd/as-is")),
+    ("BSD-2-Clause", ("bsd/grant", "bsd/source", "bsd/binary", "bsd/as-is")), ("BSD-3-Clause", ("bsd/grant", "bsd/source", "bsd/binary", "bsd/no-endorse", "bsd/as-is")),
     ("MPL-2.0", ("mpl-2.0/notice",)), ("CC-BY-NC-4.0", ("cc-by-nc-4.0/notice",)), ("CC-BY-4.0", ("cc-by-4.0/notice",)), ("CC-BY-SA-4.0", ("cc-by-sa-4.0/notice",)), ("CC0-1.0", ("cc0-1.0/notice",)),
-    ("All-Rights-Reserved", ("copyright/line", "reserved/notice")), ("SPDX", ("spdx/tag",)),
+    ("All-Rights-Reserved", ("copyright/line", "reserved/notice")), ("All-Rights-Reserved", ("reserved/notice",)), ("SPDX", ("spdx/tag",)),
 )
 CUT = re.compile(r"\n+|(?<=[.!?;])\s+|(?<=:)(?<!Identifier:)\s+")
 DROP = re.compile(r"(?:[^a-z0-9+.\u0080-\U0010ffff]+|\.(?![0-9]))+")
+ENUMERATOR = re.compile(r"(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})?")
+MARK = re.compile(r"\s*(?:dnl|@?rem)\s", re.I)
 FIRST = re.compile(r"[^A-Za-z0-9+\u0080-\U0010ffff]*([A-Za-z0-9+\u0080-\U0010ffff]*)")
 LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def normalised(sentence: str) -> str:
+    if m := MARK.match(sentence):
+        sentence = sentence[m.end() :]
     return DROP.sub(" ", sentence.translate(LOWER)).strip()
 
 
@@ -83,11 +92,11 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if text[a:b].strip()]
 
 
-KNOWN = {normalised(w): name for name, text in SENTENCES.items() for w in (text,)}
+KNOWN = {normalised(w): name for name, text in SENTENCES.items() for w in (text, *WORDINGS.get(name, ()))}
 #: What a known sentence can begin with, up to its last word but one.
 PREFIXES = {" ".join(words[:k]) for words in map(str.split, KNOWN) for k in range(1, len(words))}
-#: First words of all that can be known.
-FIRSTS = {x.split()[0] for x in (*KNOWN, *(y for starts in BEGINNINGS.values() for y in starts))}
+#: First words of all that can be known, and the line marks before them.
+FIRSTS = {x.split()[0] for x in (*KNOWN, *(y for starts in BEGINNINGS.values() for y in starts))} | {"dnl", "rem"}
 STARTS: dict[str, list] = {}
 for _rule in sorted(RULES, key=lambda r: (-len(r[1]), r[0])):
     STARTS.setdefault(_rule[1][0], []).append(_rule)
@@ -117,6 +126,19 @@ def _known(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]
     return out
 
 
+def _others(text: str, spans: list[tuple[int, int]], first: int, last: int) -> int:
+    """The sentences between two spans, without enumerators, bare comment marks and continued lines."""
+    n = 0
+    for k in range(first + 1, last):
+        words, before = normalised(text[slice(*spans[k])]), spans[k - 1][1]
+        head = FIRST.match(text, *spans[k])[1]
+        continued = k > first + 1 and text[before - 1] not in ".!?;:" and text.count("\n", before, spans[k][0]) == 1 and head[:1].islower()
+        n += not (ENUMERATOR.fullmatch(words) or continued)
+        if n > GAP:
+            break
+    return n
+
+
 def scan(text: str | None) -> tuple[int, list[str], list[tuple[str, int, int]]]:
     """Sentences of the text, the known ones' identifiers, and (licence, start, end) of the matches."""
     spans = sentences(text)
@@ -125,11 +147,11 @@ def scan(text: str | None) -> tuple[int, list[str], list[tuple[str, int, int]]]:
     while at < len(found):
         for licence, sequence in STARTS.get(found[at][2], ()):
             end, j = at, 1
-            while j < len(sequence) and end + 1 < len(found) and found[end + 1][2] == sequence[j] and found[end + 1][0] - found[end][1] <= GAP + 1:
+            while j < len(sequence) and end + 1 < len(found) and found[end + 1][2] == sequence[j] and _others(text, spans, found[end][1], found[end + 1][0]) <= GAP:
                 end, j = end + 1, j + 1
             if j == len(sequence):
                 a, b = spans[found[at][0]][0], spans[found[end][1]][1]
-                name = text[a:b].rpartition(":")[2].strip() or licence if licence == "SPDX" else licence
+                name = text[a:b].rpartition(":")[2].strip(" \t\r*/#<>!-") or licence if licence == "SPDX" else licence
                 out.append((name, a, b))
                 at = end
                 break

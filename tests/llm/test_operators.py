@@ -72,6 +72,70 @@ def test_each_licence_rule_on_its_own_text(licence, ids):
     assert found == list(ids) and [x[0] for x in got] == [licence]
 
 
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+NO_ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl "])
+@pytest.mark.parametrize("text, licence, n", [(GPL.format(":", ",", 3), "GPL-3.0-or-later", 2), (GPL.format(";", ";", 2), "GPL-2.0-or-later", 2), (BSD.format(""), "BSD-2-Clause", 4), (BSD.format(NO_ENDORSE), "BSD-3-Clause", 5), (APACHE, "Apache-2.0", 4), (MPL, "MPL-2.0", 1), (MIT, "MIT", 2), ("All rights reserved.", "All-Rights-Reserved", 1)])
+def test_licence_notices_as_they_are_wrapped(mark, text, licence, n):
+    wrapped = "\n".join(mark + line for line in text.split("\n"))
+    found, got = licences.scan(wrapped)[1:]
+    assert [x[0] for x in got] == [licence] and len(found) == n
+
+
 def test_lm_scores(spark, documents, texts):
     train = ~toxicity.held_out("doc_id", 7, 2)
     got = lm_scoring.lm_scores(documents, train).collect()
