@@ -46,14 +46,14 @@ def container(content: Column) -> Column:
     return F.when(is_adts(content), "adts").when(is_latm(content), "latm").when(is_isobmff(content), "isobmff")
 
 
-def frames_of(data: bytes, most: int = 1 << 20) -> Iterator[tuple]:
+def frames_of(data: bytes) -> Iterator[tuple]:
     """(index, offset, header fields, payload, error) of each frame.
 
     Lost sync moves on by a byte; any other fault of a header is an error row and the end; a partial
     tail is dropped.
     """
     at = n = 0
-    while at + 7 <= len(data) and n < most:
+    while at + 7 <= len(data):
         w = int.from_bytes(data[at : at + 7], "big")
         if w >> 44 != 0xFFF:
             at = data.find(b"\xff", at + 1)

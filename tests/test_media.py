@@ -35,6 +35,12 @@ def test_faults():
     assert next(iter(media.boxes_of(b"\0\0\0\2free")))[-1] == "size"
 
 
+def test_files_of_over_a_million_frames(spark):
+    n = (1 << 20) + 5
+    d = spark.createDataFrame([("long", bytearray(frame(b"") * n))], "path string, content binary")
+    assert [r.frames for r in media.exact_frames(d).collect()] == [n]
+
+
 def test_any_cut_gives_the_same_frames():
     whole = advanced(STREAM, 0, 0, 1 << 16)[0]
     for seed in range(20):
