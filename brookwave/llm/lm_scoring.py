@@ -6,16 +6,19 @@ counts by context and next byte, one for each length of context. A byte seen aft
 proportion to the next shorter context without the seen ones (symbol exclusion); a context that training
 lacks takes the next shorter one. The tables also hold what occurs in the scored texts alone, with a count
 of 0, so each length is one join with the shorter one and one window over the context, and the last table has the code length of
-every place of every text. Texts are scored in blocks of about 16 MB: the distinct places of a block are
-joined with the table and meet the block's texts. A score is the sum over a text's words, joined by one blank, and its
+every place of every text. A score is the sum over a text's words, joined by one blank, and its
 end. A byte that training lacks is coded as such and then evenly among all 256.
 
+That last table meets the texts in one of two ways, with the same scores (a test holds them against each other). While it
+has at most ``model_rows`` rows, which is counted, it is sent out as a hash table of twelve bytes a slot and
+the texts are read once more, without a shuffle. Beyond that texts are scored in blocks of about 48 MB: the distinct
+places of a block are joined with the table and meet the block's texts.
+
 The base takes each word's count over all training documents. Words that make up at least 1/65536 of
 the tokens (so 65536 of them at most) are broadcast and summed where the text is read; only the rarer
 ones, of which none can be a hot key, are shuffled, once, as 64-bit hashes, to meet their counts. Training
 words that share a hash are found beforehand and broadcast with the frequent ones, so their counts stay
-exact; a word that training lacks takes another's hash with a chance of (distinct words) / 2**64. Texts
-are shuffled once, by block.
+exact; a word that training lacks takes another's hash with a chance of (distinct words) / 2**64.
 
 Defined results: null and empty texts are their end alone; rows with an equal doc_id are scored row by
 row; a null doc_id is never held out; without training rows counts are 0 and bytes are coded evenly.
@@ -43,7 +46,9 @@ WORD_SHARE = 1 << 16
 END = 256  # the symbol after the last byte; 257 stands for bytes that training lacks
 BITS = 9
 FILLER = 511  # no text's symbol: a context ends before it
-FLUSH, PIECE, BLOCK = 4 << 20, 1 << 18, 16 << 20
+FLUSH, PIECE, BLOCK = 4 << 20, 1 << 18, 48 << 20
+KEYS = 3_000_000  # distinct grams that a task holds before it hands them on
+MODEL_ROWS = 6_000_000  # of the model that is sent out: 12 bytes each, in one and a half as many slots, are 108 MB
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -121,14 +126,15 @@ def _counted_grams(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, np.int64)), pa.array(k), pa.array(counts[at : at + 100_000])], names=["block", "gram", "n"])
 
         for b in batches:
-            for now, unseen, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for now, unseen, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if now != block or held > FLUSH:
                     if parts:
                         keys, counts = with_()
                         parts, held = [], 0
-                    if now != block:
+                    if now != block or len(keys) > KEYS:
                         yield from out()
                         keys, counts, block = none, none, now
+                raw = text if isinstance(text, bytes) else b" ".join(tokens_of(text))
                 parts.append((grams(_stream(raw, order), order), unseen is False))
                 held += len(raw) + 1
         if parts:
@@ -138,6 +144,39 @@ def _counted_grams(order: int):
     return run
 
 
+class Lengths:
+    """Code lengths by gram: an open-addressed table, filled and looked up a whole array at a time."""
+
+    def __init__(self, gram: np.ndarray, length: np.ndarray):
+        self.slots = max(2, len(gram) * 3 // 2)
+        self.key, self.length = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.float32)
+        left, at = np.arange(len(gram)), self.place(gram)
+        while len(left):
+            free = self.key[at] == -1
+            self.key[at[free]] = gram[left[free]]  # of several the last one stays
+            mine = self.key[at] == gram[left]
+            self.length[at[mine]] = length[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) % self.slots
+
+    def place(self, gram: np.ndarray) -> np.ndarray:
+        mixed = (gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return ((mixed * np.uint64(self.slots)) >> np.uint64(32)).astype(np.int64)
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        at = self.place(gram)
+        out, miss = self.length.take(at), np.flatnonzero(self.key.take(at) != gram)
+        at = at[miss]
+        while len(miss):
+            at = (at + 1) % self.slots
+            found = self.key.take(at)
+            if (found == -1).any():
+                raise KeyError("a gram that the model lacks")
+            hit = found == gram[miss]
+            out[miss[hit]] = self.length.take(at[hit])
+            miss, at = miss[~hit], at[~hit]
+        return out
+
+
 class Trie:
     """The model in memory, which the tables are tested against: code lengths (log10 of probabilities) by node and next symbol.
 
@@ -238,9 +277,26 @@ class Trie:
             out[i] += sums[end - self.order] - sums[end - len(x)]
 
 
-def _scored(known, order: int):
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>"
+
+
+def _rated(raw: bytes, logs: dict, length: float) -> tuple:
+    """Tokens, frequent known ones, the sum of their logarithms, the score, and hashes of the other tokens."""
+    n = Counter(raw.split())
+    often = n.keys() & logs.keys()
+    return sum(n.values()) + 1, sum(n[w] for w in often), sum(n[w] * logs[w] for w in sorted(often)), length, [h for w in n if w not in often for h in [hashed(w)] * n[w]]
+
+
+def _table(rows: list[tuple]) -> list[pa.Array]:
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys"]
+    return [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
+
+
+NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "sum_log", "score", "keys"]
+
+
+def _scored(known, order: int):
+    """A block's texts with the code lengths of its places."""
 
     def run(texts: pa.Table, lengths: pa.Table) -> pa.Table:
         logs, out = known.value, []
@@ -248,20 +304,32 @@ def _scored(known, order: int):
         sort = np.argsort(gram)
         gram, length = gram[sort], length[sort]
         for row, doc_id, held, raw in zip(*(texts.column(x).to_pylist() for x in ("row", "doc_id", "held_out", "raw")), strict=True):
-            n = Counter(raw.split())
-            often = n.keys() & logs.keys()
-            s = sum(n[w] * logs[w] for w in sorted(often))
-            rest = [w for w in n if w not in often]
-            k = sum(n[w] for w in often)
-            score = float(length[np.searchsorted(gram, grams(_stream(raw, order), order))].sum())
-            out.append((row, doc_id, held, sum(n.values()) + 1, k, s, score, [h for w in rest for h in [hashed(w)] * n[w]]))
-        columns = zip(*out, strict=True) if out else [()] * 8
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            out.append((row, doc_id, held, *_rated(raw, logs, float(length[np.searchsorted(gram, grams(_stream(raw, order), order))].sum()))))
+        return pa.Table.from_arrays(_table(out), names=NAMES)
+
+    return run
+
+
+def _scored_with(model, known, order: int):
+    """Texts with the whole model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for b in batches:
+            out = []
+            for doc_id, held, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                raw, length = b" ".join(tokens_of(text)), 0.0
+                stream = _stream(raw, order)
+                for at in range(0, len(stream) - order, PIECE):
+                    length += float(model.value.of(grams(stream[at : at + PIECE + order], order)).sum(dtype=np.float64))
+                out.append((row, doc_id, held, *_rated(raw, known.value, length)))
+                row += 1
+            yield pa.RecordBatch.from_arrays(_table(out), names=NAMES)
 
     return run
 
 
-def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
+def lm_scores(docs: DataFrame, train, order: int = ORDER, model_rows: int = MODEL_ROWS) -> DataFrame:
     """docs: doc_id, text. train: a condition on their columns. One row per document."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -273,17 +341,23 @@ def lm_scores(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     often = {bytes(r.word): math.log10(r.c + 1) for r in words.where(F.col("c") * WORD_SHARE >= total).collect()} if total else {}
     twins = words.groupBy(F.xxhash64("word").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
     often |= {bytes(r.word): math.log10(r.c + 1) for r in words.join(twins, F.xxhash64("word") == F.col("k"), "left_semi").collect()}
-    texts = _texts(rows.select("doc_id", (~train).alias("held_out"), "text"))
-    found = texts.select("block", "held_out", "raw").mapInArrow(_counted_grams(order), "block long, gram long, n long")
-    table = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    rows = rows.select("doc_id", (~train).alias("held_out"), "text")
+    counted = rows.select(F.lit(0).cast("long").alias("block"), "held_out", "text").mapInArrow(_counted_grams(order), "block long, gram long, n long")
+    table = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     p = code_lengths(table, order)
     dropped(table)
     spark._jvm.System.gc()  # what was shuffled so far leaves the disks
-    places = found.select("block", "gram").join(p.hint("shuffle_hash"), "gram").select("block", "gram", "length")
     known = spark.sparkContext.broadcast(often)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, sum_log double, score double, keys array<long>"
-    scored = stored(texts.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_scored(known, order), schema), "scored")
-    for x in (p, texts.parts):
+    if p.count() <= model_rows:
+        model = p.select("gram", F.col("length").cast("float").alias("length")).toArrow()
+        model = spark.sparkContext.broadcast(Lengths(model.column("gram").to_numpy(), model.column("length").to_numpy()))
+        parts, scored = [], stored(rows.mapInArrow(_scored_with(model, known, order), SCORED), "scored")
+    else:
+        texts = _texts(rows)
+        found = texts.select("block", "held_out", "raw").mapInArrow(_counted_grams(order), "block long, gram long, n long")
+        places = found.select("block", "gram").join(p.hint("shuffle_hash"), "gram").select("block", "gram", "length")
+        parts, scored = [texts.parts], stored(texts.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_scored(known, order), SCORED), "scored")
+    for x in (p, *parts):
         dropped(x)
     counts = words.where(F.col("c") * WORD_SHARE < total).select(F.xxhash64("word").alias("k"), F.log10(F.col("c") + 1).alias("log")).hint("shuffle_hash")
     exploded = scored.select("row", F.explode("keys").alias("key"))

@@ -174,6 +174,41 @@ def test_trie_is_a_distribution_and_scores_as_by_hand():
     assert trie.scores([LONG])[0] == pytest.approx(by_hand(LONG.encode()), rel=1e-6)
 
 
+def by_definition(train, text, order=5):
+    """Prediction by partial matching from its definition, with counts in plain dictionaries."""
+    n = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = [256] * order + list(t) + [256]
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                n[tuple(s[i - k : i])][s[i]] += 1
+    known = {256} | set(n[()])
+
+    def p(context, symbol):
+        if not context and not n[()]:
+            return 1 / (len(known) + 1)
+        if not n[context]:
+            return p(context[1:], symbol)
+        c = n[context]
+        lower = (lambda x: p(context[1:], x)) if context else lambda x: 1 / (len(known) + 1)
+        left = 1 - sum(lower(x) for x in c)
+        total = sum(c.values())
+        if symbol in c:
+            return (c[symbol] - 0.5) / total
+        return len(c) / (2 * total) * lower(symbol) / left
+
+    s = [256] * order + list(text) + [256]
+    return sum(math.log10(p(tuple(s[i - order : i]), x) if x in known else p(tuple(s[i - order : i]), -1) / 256) for i, x in enumerate(s) if i >= order)
+
+
+def test_lm_score_by_its_definition(spark):
+    texts = [(i, prose(i, 12)) for i in range(1, 9)] + [(9, "bado zz"), (10, "")]
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, texts), F.col("doc_id") < 7).collect()}
+    train = [t.encode() for i, t in texts if i < 7]
+    for i, t in texts:
+        assert got[i] == pytest.approx(by_definition(train, t.encode()), rel=1e-5)
+
+
 def test_lm_awkward(spark):
     got = lm_scoring.lm_scores(frame(spark, AWKWARD), ~toxicity.held_out("doc_id", 7, 2)).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
@@ -183,6 +218,7 @@ def test_lm_awkward(spark):
 def test_every_context_of_training_counts(spark, monkeypatch):
     """The tables equal the model in memory with every context, however small its share; held-out bytes that training lacks too."""
     monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)
+    monkeypatch.setattr(lm_scoring, "KEYS", 500)
     rare = [(i, f"{prose(i, 200)} q{i}x") for i in range(1, 60)] + [(101, "zü q5x bado"), (102, ""), (103, None), (104, LONG)]
     train = ~toxicity.held_out("doc_id", 7, 2)
     d = frame(spark, rare)
@@ -191,6 +227,9 @@ def test_every_context_of_training_counts(spark, monkeypatch):
     trie = lm_scoring.Trie(*np.unique(np.concatenate(stream), return_counts=True))
     assert any(r.held_out for r in got.values()) and len(got) == len(rare)
     assert [got[i].score for i, _ in rare] == pytest.approx(trie.scores([t for _, t in rare]).tolist(), rel=1e-5)
+    joined = {r.doc_id: r for r in lm_scoring.lm_scores(d, train, model_rows=0).collect()}  # a model too large to be sent out
+    assert [joined[i].score for i, _ in rare] == pytest.approx([got[i].score for i, _ in rare], rel=1e-5)
+    assert all(joined[i][:6] == got[i][:6] for i, _ in rare)
     # one rare word among more than 131072 times as many bytes still is a context
     many = [(i, "ba " * 50_000) for i in range(1, 8)] + [(8, "quixotic"), (9, "quixotic"), (10, "quixotix")]
     got = {r.doc_id: r.score for r in lm_scoring.lm_scores(frame(spark, many), F.col("doc_id") < 9).collect()}
