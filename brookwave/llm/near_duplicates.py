@@ -7,18 +7,22 @@ Rows of the work, none of which the driver sees:
 2. documents with equal sets form a class; the smallest doc_id stands for it
 3. index: 48 of the symbols form 8 chunks of 6. By pigeonhole two signatures that differ in at most 15
    of these 48 agree, in some chunk, in all but one symbol at most, so each chunk is filed once for
-   every symbol left out: 48 keys. Sets of a similarity of 0.85 miss all chunks with a chance of 6e-6
-4. keys that one class alone has are dropped; under the others the whole signatures are compared. A
-   pair at a distance within the bound (38 of 128; a similarity of 0.85 exceeds it with a chance of
-   4e-6) is taken up by the first key that both have, and by no other
-5. the members of such pairs meet once more, per key, with their full sets: exact intersections
-   confirm links. Only links of a spanning forest leave the task
+   every symbol left out: 48 keys. Every pair within this distance (``NEAR``) has a common key and is taken
+   up: the join is complete for it. Pairs of a similarity of 0.85 lie beyond it with a chance of 1e-3, so
+   those that have a common key all the same are taken up too if the whole signatures differ in at
+   most 38 symbols (``FAR``); such a pair has no common key with a chance of 6e-6, and lies beyond FAR
+   with one of 4e-6
+4. keys that one class alone has are dropped; under the others signatures are compared. A
+   pair is taken up by the first key that both have, and by no other
+5. the members of such pairs meet once more, in jobs, with their full sets: exact intersections
+   confirm links. A job holds at most ``JOB_BYTES`` of sets, or two sets. Only links of a spanning forest leave the task
 6. components by minimum-label propagation with pointer jumping
 
 Skew: exact copies collapse in step 2, before the shuffle, and find their component again without
 one (see HEAVY). A key with more members than
-``block`` is dealt out to tasks by pairs of blocks, so that none holds more than two blocks. The
-number of rows stays linear in the members (sets and signatures move, pairs don't).
+``block`` is dealt out to tasks by pairs of blocks, so that none holds more than two blocks. No pairs
+are emitted, but the signatures of a key of n members move n / block times, so the rows of a key grow
+with n * n / block; so do its comparisons, which are work in memory.
 
 Defined results: null texts and texts without words have no set, are linked with nothing and form
 their own component; a text of under five words is one shingle; rows with an equal doc_id are
@@ -40,8 +44,9 @@ from brookwave.llm.shared import dropped, read, stored, utf8
 SHINGLE = 5
 SIMILARITY = 85  # in hundredths
 PERMUTATIONS, CHUNKS, CHUNK = 128, 8, 6
-FAR = 38
+NEAR, FAR = 2 * CHUNKS - 1, 38  # of the indexed symbols, of all
 BLOCK = 512
+JOB_BYTES = 64 << 20
 HEAVY = 1000  # sets that hold one in so many rows or more are joined by broadcast: there are at most so many of them
 MEMO = 100_000  # hashes of words that a worker remembers
 BROADCAST = 4_000_000  # doc_ids, of eight bytes each; beyond so many the texts are shuffled
@@ -134,7 +139,7 @@ def taken_up(signs: np.ndarray, place: int, first: int) -> np.ndarray:
         errors = parts.sum(axis=3, dtype=np.uint8)
         close = (errors <= 1).argmax(axis=2) == chunk  # the first chunk that both have a key of
         close &= (errors[:, :, chunk] == 1) & parts[:, :, chunk, left_out] | (errors[:, :, chunk] == 0) & (left_out == 0)
-        close &= differ.sum(axis=2, dtype=np.uint8) <= FAR
+        close &= (errors.sum(axis=2, dtype=np.uint8) <= NEAR) | (differ.sum(axis=2, dtype=np.uint8) <= FAR)
         i, j = np.nonzero(close)
         j = j + (first or a)
         pairs = rows[i] < j
@@ -142,6 +147,20 @@ def taken_up(signs: np.ndarray, place: int, first: int) -> np.ndarray:
     return out
 
 
+def jobs_of(sizes: list[int], most: int) -> list[list[int]]:
+    """Members in jobs, by their sizes in bytes: any two meet in one, and a job holds at most ``most`` bytes or two members."""
+    if sum(sizes) <= most or len(sizes) < 3:
+        return [list(range(len(sizes)))]
+    parts, held = [[]], 0
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
+        if parts[-1] and held + sizes[k] > most // 2:
+            parts.append([])
+            held = 0
+        parts[-1].append(k)
+        held += sizes[k]
+    return [parts[0], *(a + b for i, b in enumerate(parts) for a in parts[:i])] if len(parts) > 1 else parts
+
+
 def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
     """Rows that follow each other with equal first ``width`` values."""
     held, at = [], None
@@ -157,7 +176,7 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In: key, cell, place, half, class, signature, in order. Out: (job, class) of the members of pairs."""
+    """In: key, cell, place, half, class, signature, size, in order. Out: (job, class) of the members of pairs."""
     jobs, classes = [], []
     for run in _runs(batches, 2):
         if len(run) > 1:
@@ -165,10 +184,10 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if first == len(run) or run[0][3]:
                 continue  # a cell of two blocks with one of them empty
             signs = np.frombuffer(b"".join(r[5] for r in run), "<u2").reshape(len(run), PERMUTATIONS)
-            job = xxhash.xxh3_64_intdigest(f"{run[0][0]}/{run[0][1]}") - (1 << 63)
-            chosen = [r[4] for r, x in zip(run, taken_up(signs, run[0][2], first), strict=True) if x]
-            jobs += [job] * len(chosen)
-            classes += chosen
+            chosen = [r for r, x in zip(run, taken_up(signs, run[0][2], first), strict=True) if x]
+            for k, members in enumerate(jobs_of([8 * r[6] for r in chosen], JOB_BYTES)):
+                jobs += [xxhash.xxh3_64_intdigest(f"{run[0][0]}/{run[0][1]}/{k}") - (1 << 63)] * len(members)
+                classes += [chosen[i][4] for i in members]
         if len(jobs) > 20_000:
             yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(classes, pa.int64())], names=["job", "class"])
             jobs, classes = [], []
@@ -256,14 +275,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with its columns, and all rows that have no words.
+
+    Rows are grouped by their own texts, whatever their doc_id: rows of one doc_id with different texts
+    are different documents, repeated rows are copies of which one stays, and rows without doc_id are judged
+    like any others. The first of a group, in the order in which the rows were stored, stays. Rows get their
+    numbers as they are stored, so that they are the same ones in every later step.
+    """
+    number = next(f"row_{k}" for k in range(len(docs.columns) + 1) if f"row_{k}" not in docs.columns)
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
+    gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(number)), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, number, "left_anti").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per document: the size of its set, its component, and whether it is the one that stays."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_signed, "doc_id long, n_shingles long, set_id binary, signature binary"), "signed")
     some = signed.where("set_id is not null and doc_id is not null")
     # equal sets have equal signatures, so any will do; copies combine before the shuffle
-    grouped = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.first("signature").alias("signature")), "classes")
-    classes, members = grouped.select("class", "signature"), grouped.select("set_id", "class", "n")
+    grouped = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size")), "classes")
+    classes, members = grouped.select("class", "signature", "size"), grouped.select("set_id", "class", "n")
     filed = classes.mapInArrow(_filed, "key long, place int, class long")
     shared = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = filed.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
@@ -272,15 +306,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("cell"), "place",
         F.when(F.col("own") == F.col("other"), 0).otherwise((F.col("own") > F.col("other")).cast("int")).alias("half"), "class",
     )
-    cells = cells.join(classes, "class").select("key", "cell", "place", "half", "class", "signature")
+    cells = cells.join(classes, "class").select("key", "cell", "place", "half", "class", "signature", "size")
     jobs = stored(cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "half", "class").mapInArrow(_close, "job long, class long"), "jobs")
-    wanted = stored(jobs.select("class").distinct(), "wanted")
+    wanted = kept_ids = stored(jobs.select("class").distinct(), "wanted")
     if wanted.count() <= BROADCAST:
         wanted = F.broadcast(wanted)
     sets = texts.join(wanted, texts["doc_id"] == wanted["class"], "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "class long, shingles binary")
     full = jobs.join(sets, "class").select("job", "class", "shingles")
     links = full.repartition("job").sortWithinPartitions("job", "class").mapInArrow(_confirmed, "a long, b long")
     found = components(links.where("a <> b").distinct())
+    for x in (jobs, kept_ids):
+        dropped(x)
     of = members.join(found, members["class"] == found["node"], "left").where("n > 1 or component is not null")
     of = stored(of.select(F.col("set_id").alias("sid"), F.coalesce("component", "class").alias("component_id"), F.col("n") * HEAVY >= signed.count()), "of").toDF("sid", "component_id", "heavy")
     slim = signed.select("doc_id", "n_shingles", "set_id")

@@ -309,6 +309,33 @@ def test_near_duplicates(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_jobs_hold_any_two_and_few_bytes():
+    for sizes in ([], [5], [3, 9], [1] * 30, [40, 1, 1, 50, 2, 60, 7], [200, 300, 1, 2, 3]):
+        jobs = near_duplicates.jobs_of(sizes, 64)
+        assert {(a, b) for j in jobs for a in j for b in j} == {(a, b) for a in range(len(sizes)) for b in range(len(sizes))}
+        assert all(sum(sizes[k] for k in j) <= 64 or len(j) <= 2 or sum(sorted(sizes[k] for k in j)[:-1]) <= 32 for j in jobs)
+
+
+def test_every_pair_within_the_signature_distance_has_a_key():
+    r = np.random.default_rng(9)
+    base = r.integers(0, 1 << 16, near_duplicates.PERMUTATIONS).astype("<u2")
+    for _ in range(300):
+        other = base.copy()
+        other[near_duplicates.CHUNKS * near_duplicates.CHUNK :] ^= 1  # all that is not indexed differs
+        other[r.permutation(near_duplicates.CHUNKS * near_duplicates.CHUNK)[: near_duplicates.NEAR]] ^= 1
+        signs = np.stack([base, other])
+        a, b = near_duplicates.keys_of(signs)
+        places = np.flatnonzero(a == b)
+        assert len(places) and sum(near_duplicates.taken_up(signs, int(p), 0).all() for p in places) == 1
+
+
+def test_small_jobs_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "JOB_BYTES", 5_000)
+    texts = near_copies()
+    got = near_duplicates.near_duplicates(frame(spark, list(texts.items()))).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts)
+
+
 def test_near_duplicates_awkward(spark, documents, texts):
     assert len(near_duplicates.near_duplicates(frame(spark, AWKWARD)).collect()) == len(AWKWARD)
     assert near_duplicates.near_duplicates(frame(spark, AWKWARD).limit(0)).count() == 0
