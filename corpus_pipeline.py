@@ -3,15 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
 documents; the last returns the packed pieces. Between stages the documents are written as Parquet to the
 shared folder and read again, so that a lost executor costs one stage's tasks at most.
+
+Defined results, of every stage: rows are judged one by one by their own texts, so repeated rows, equal doc_ids
+and null doc_ids need no care (near-dedup leaves one of repeated rows); null and empty texts are not toxic,
+have no copies and no benchmark windows, are judged by their page alone in the quality stage, and are packed as their end
+token; other columns, whatever their names, stay as they are until packing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brookwave.llm.decontamination import without_items
-from brookwave.llm.near_duplicates import near_duplicates
+from brookwave.llm.near_duplicates import one_of_each
 from brookwave.llm.packing import default_tokenizer, pack
 from brookwave.llm.quality_classifier import of_quality
 from brookwave.llm.shared import read, stored
@@ -29,9 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, row by row: the first as the rows are stored."""
+    return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
