@@ -7,11 +7,10 @@ All of it is DataFrame functions inside one projection per step: no Python, no s
   the words they cover are counted from the places in order. n log n in the text's length.
 - divergence: the histogram of character classes and that of common words (each word of the language's
   list, and all others) against each language's reference, by Jensen-Shannon distance (base 2).
-  The nearest language counts. A text with fewer than ``min_chars`` characters in words or ``min_words`` words
+  The language nearest by the sum of both distances counts, for both thresholds. A text with fewer than ``min_chars`` characters in words or ``min_words`` words
   is not judged by the histogram in question, as short texts lie far from any reference by chance.
 
-Defined results: null texts have no words and fail the base; ties between languages don't matter, as only
-the distance is used; rows with an equal doc_id are judged row by row; other columns are ignored.
+Defined results: null texts have no words and fail the base; of languages as near the first in the table counts; rows with an equal doc_id are judged row by row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,10 +97,18 @@ def measured(docs: DataFrame) -> DataFrame:
         others = 1 - F.aggregate(shares, F.lit(0.0), lambda acc, x: acc + x)
         return distance(F.concat(shares, F.array(others)), (*WORDS[lang].values(), 1 - sum(WORDS[lang].values())))
 
-    return rows.select(
+    none = F.lit(None).cast("array<double>")
+    rows = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(F.col("word_chars") >= MIN_CHARS, F.least(*(distance(F.col("classes"), q) for q in CLASSES.values()))).alias("class_distance"),
-        F.when(F.col("n_words") >= MIN_COMMON_WORDS, F.least(*(words_of(x) for x in WORDS))).alias("word_distance"),
+        F.when(F.col("word_chars") >= MIN_CHARS, F.array(*(distance(F.col("classes"), CLASSES[x]) for x in WORDS))).otherwise(none).alias("by_class"),
+        F.when(F.col("n_words") >= MIN_COMMON_WORDS, F.array(*(words_of(x) for x in WORDS))).otherwise(none).alias("by_word"),
+    )
+    both = F.transform(F.array(*map(F.lit, range(len(WORDS)))), lambda i: F.coalesce(F.get("by_class", i), F.lit(0.0)) + F.coalesce(F.get("by_word", i), F.lit(0.0)))
+    rows = rows.withColumn("nearest", (F.array_position(both, F.array_min(both)) - 1).cast("int"))
+    judged_at_all = F.col("by_class").isNotNull() | F.col("by_word").isNotNull()
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.get("by_class", "nearest").alias("class_distance"), F.get("by_word", "nearest").alias("word_distance"),
+        F.when(judged_at_all, F.get(F.array(*map(F.lit, WORDS)), "nearest")).alias("language"),
     )
 
 
