@@ -3,23 +3,24 @@
 Five transducers read the words of a text in one pass and write tags with weights:
 
 - insult: words whose weight is the log-odds that training learned for them or for one of their
-  beginnings (a trie of prefixes of 2 to 8 letters, as inflected forms share a stem), else a seed
-- threat: a threat verb after an intent word
+  stems (beginnings of 5 to 8 letters, as inflected forms share one), else a seed
+- threat: a threat verb after an intent word, aimed at somebody
 - target: words for the person spoken to or of
-- negation: lowers an insult that follows it closely
-- reported speech: lowers what a clause says that somebody said
+- negation: up to ``NEAR`` words before an insult or threat takes it back
+- reported speech: what a clause says that somebody said counts little
 
 Their composition walks the tags of one clause (up to . ! ? ; or a line end); a clause that holds
-an insult or threat is a match and scores its weight by what else it holds. A text's score
-is a logistic curve, fitted on training rows, of its summed and of its strongest clause and of
-how often it matches: isolated words never decide, and whole texts are read.
+an insult or threat is a match and scores its weight by what else it holds: in full with a target or
+beside a second insult, by ``LONE`` if an insult stands alone. A text's score is a logistic curve, fitted on training rows, of its summed and of its
+strongest clause and of how often it matches. What decides is clauses, not words; but a lone insult that training
+learned strongly is a clause that can decide, as such texts are labelled toxic. Whole texts are read.
 
 Training takes at most ``sample_rows`` labelled rows (a hash of doc_id chooses them, evenly). Labels
 of held-out rows (crc32 of the doc_id as text, modulo 4, is 2) are never read. One pass over the
 documents; the model that is sent out is bounded by the sample. No shuffle in scoring.
 
 Defined results: null and empty texts have no clause and get the curve's lowest score; rows with an
-equal doc_id are scored row by row; null labels are skipped; without toxic training rows the
+equal doc_id are scored row by row; labels other than 0 and 1 are skipped, of several of a document 1 counts; without toxic training rows the
 seeds alone count; other columns are ignored.
 """
 
@@ -40,10 +41,10 @@ from brookwave.llm.shared import read, utf8
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-PREFIXES = range(2, 9)
+STEMS = range(5, 9)
 MEMO = 1_000_000
 #: Words of the fixed grammar; weights of insults are learned where training has them.
-SEED_INSULTS = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "loser": 2.5, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.0, "trash": 1.5, "clown": 1.5}
+SEED_INSULTS = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "loser": 2.5, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.0, "trash": 1.5, "clown": 1.5, "fool": 2.0, "coward": 2.0, "liar": 2.0, "filth": 2.5}
 TARGETS = {"you", "your", "you're", "youre", "u", "he", "she", "they", "them", "him", "her", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "vosotros"}
 NEGATIONS = {"not", "never", "no", "isn't", "aren't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca"}
 REPORTS = {"said", "says", "called", "wrote", "quoted", "claimed", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió"}
@@ -52,12 +53,30 @@ THREATS = {"kill", "hurt", "destroy", "murder", "beat", "attack", "stab", "shoot
 EDGES = "\"'`“”«»()[]{}<>*_~#%&$|,:-!.?;"
 ENDS = (".", "!", "?", ";")
 #: What a clause's other tags do to its insults, and what a threat weighs.
-TARGETED, NEGATED, REPORTED, THREAT, NEAR = 1.25, 0.4, 0.7, 3.0, 3
+TARGETED, LONE, NEGATED, REPORTED, THREAT, NEAR = 1.25, 0.6, 0.0, 0.1, 3.0, 3
 
 
 def features_of(word: str) -> list[str]:
-    """The word, and its beginnings."""
-    return ["=" + word, *("^" + word[:k] for k in PREFIXES if k < len(word))]
+    """The word, and its stems."""
+    return ["=" + word, *("^" + word[:k] for k in STEMS if k < len(word))]
+
+
+class Clause:
+    """What the transducers have written of a clause so far."""
+
+    __slots__ = ("insults", "matched", "targeted", "reported", "intent", "threat")
+
+    def __init__(self):
+        self.insults, self.matched, self.threat = 0.0, 0, 0.0
+        self.targeted = self.reported = self.intent = False
+
+    def insult(self, weight: float) -> None:
+        self.insults += weight
+        self.matched += weight > 0
+
+    def score(self) -> float:
+        how = TARGETED if self.targeted else 1.0 if self.matched > 1 else LONE
+        return (self.insults * how + self.threat * self.targeted) * (REPORTED if self.reported else 1.0)
 
 
 class Grammar:
@@ -98,24 +117,25 @@ class Grammar:
     @staticmethod
     def walk(tags: list[tuple]) -> list[float]:
         """The composed transducer on the tags of one line: a score for each clause that matches."""
-        out, insults, targeted, reported, intent, threat, negated_at = [], 0.0, False, False, False, 0.0, -99
+        out, clause, negated_at = [], Clause(), -99
         for i, (kind, weight, ends) in tags:
+            near = i - negated_at <= NEAR
             if kind == "T":
-                targeted = True
+                clause.targeted = True
             elif kind == "N":
                 negated_at = i
             elif kind == "R":
-                reported = True
+                clause.reported = True
             elif kind == "W":
-                intent = True
+                clause.intent = True
             elif kind == "V":
-                threat += THREAT * (intent and i - negated_at > NEAR)
+                clause.threat += THREAT * (clause.intent and not near)
             elif kind == "I":
-                insults += weight * (NEGATED if i - negated_at <= NEAR else 1.0)
+                clause.insult(weight * (NEGATED if near else 1.0))
             if ends:
-                out.append((insults * (TARGETED if targeted else 1.0) + threat * targeted) * (REPORTED if reported else 1.0))
-                insults, targeted, reported, intent, threat, negated_at = 0.0, False, False, False, 0.0, -99
-        out.append((insults * (TARGETED if targeted else 1.0) + threat * targeted) * (REPORTED if reported else 1.0))
+                out.append(clause.score())
+                clause, negated_at = Clause(), -99
+        out.append(clause.score())
         return [x for x in out if x > 0]
 
     def evidence(self, text: str | None) -> list[float]:
@@ -152,11 +172,18 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = HELD_OUT):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def chosen(share: float, *columns):
+    """A condition that this share of the rows meets, by a 64-bit hash of the columns."""
+    bound = round(min(1.0, share) * (1 << 64)) - (1 << 63) - 1
+    return F.xxhash64(*columns) <= F.lit(max(bound, -(1 << 63)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, y) of training rows with a label: about ``bound`` of them, chosen by a hash of doc_id."""
-    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null").where(~held_out("doc_id"))
+    y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out("doc_id"))
+    y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
     share = min(1.0, bound / max(1, y.count()))
-    y = y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    y = y.where(chosen(share, "doc_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id").select("text", "y")
 
 
