@@ -236,6 +236,32 @@ def test_every_context_of_training_counts(spark, monkeypatch):
     assert got[9] > got[10] and got[9] > -12
 
 
+def divergences(t):
+    """Both distances to each language, from their definition."""
+    w, size = words_of(t), max(1, len(t or ""))
+    upper, digit, sign, stop = (sum(c in x for c in t or "") for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>@^_~=+/\\[]{}`", ".,;:!?'\"()-"))
+    blank = len(t or "") - sum(map(len, w))
+    p = [max(0, len(t or "") - upper - digit - sign - stop - blank), upper, digit, blank, stop, sign]
+
+    def js(p, q):
+        part = lambda a, b: a * math.log2(a / ((a + b) / 2)) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, q)) / 2))
+
+    out = {}
+    for lang, own in quality_rules.WORDS.items():
+        n = [sum(x in (k, k.capitalize(), k.upper()) for x in w) / max(1, len(w)) for k in own]
+        out[lang] = js([x / size for x in p], quality_rules.CLASSES[lang]), js([*n, 1 - sum(n)], [*own.values(), 1 - sum(own.values())])
+    return out
+
+
+def expected_verdict(t):
+    w = words_of(t)
+    by_class, by_word = sum(map(len, w)) >= quality_rules.MIN_CHARS, len(w) >= quality_rules.MIN_COMMON_WORDS
+    lang, (a, b) = min(divergences(t).items(), key=lambda x: x[1][0] * by_class + x[1][1] * by_word)
+    ok = (not by_class or a <= quality_rules.MAX_CLASS_DISTANCE) and (not by_word or b <= quality_rules.MAX_WORD_DISTANCE)
+    return (lang if by_class or by_word else None, a if by_class else None, b if by_word else None, ok and not expected_rules(t)[5])
+
+
 def expected_rules(t):
     w = words_of(t)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -250,8 +276,11 @@ def test_quality_rules(spark, documents, texts):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     for r in quality_rules.judged(documents).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == expected_rules(texts[r.doc_id])
+        lang, a, b, kept = expected_verdict(texts[r.doc_id])
+        assert (r.language, r.kept) == (lang, kept) and (r.class_distance, r.word_distance) == (pytest.approx(a), pytest.approx(b))
         if labels.get(r.doc_id) == 1 and not r.base_failed:
             assert r.kept
+    assert quality_rules.judged(documents.limit(0)).count() == 0
     more = [(30, "a b c a b c a"), (31, "x\nx\n\n \nx y\nx"), (32, "☃ 😀 #a*\x1c|b\n" * 3), (33, "a " * 5000)]
     for r in quality_rules.judged(frame(spark, AWKWARD + more)).collect():
         t = dict(AWKWARD + more)[r.doc_id]
@@ -405,24 +434,54 @@ def test_lowest_cost_sequence_gets_the_longest_piece():
 
 def test_toxicity(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = toxicity.toxicity(documents, labels).join(labels, "doc_id").collect()
+    rows = toxicity.toxicity(documents, labels).join(labels, "doc_id").join(documents.select("doc_id", "lang"), "doc_id").collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out]
-    assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
+    assert not any(r.predicted for r in held if not r.toxic)
+    english = [r for r in held if r.toxic and r.lang == "en"]
+    assert sum(r.predicted for r in english) >= 0.9 * len(english) > 0
     got = toxicity.toxicity(frame(spark, AWKWARD), labels).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(documents.limit(0), labels.limit(0)).count() == 0
 
 
+CURVE = [-5.1, 1.56, 0.09, 4.91]  # as fitted on the larger table
+
+
 def test_grammar():
-    g = toxicity.Grammar({"=idiot": 4.0, "^zork": 3.0}, [-2.0, 1.0, 0.2, 0.0])
+    g = toxicity.Grammar({"=idiot": 4.0, "^zorkl": 3.0}, CURVE)
     total = lambda t: sum(g.clauses(t))
-    assert total("you are an idiot.") > total("such an idiot.") > total("he was not an idiot.") or total("such an idiot.") > total("he was not an idiot.")
-    assert total("they said that idiot spoke") < total("they met that idiot there")
-    assert total("zorkling") == 3.0 and total("I will kill you") > 0 and total("the kill switch") == 0 and total("") == 0
+    assert total("you are an idiot.") > total("such an idiot.") > total("he was not an idiot.") == 0
+    assert 0 < total("they said that idiot spoke") < total("they met that idiot there")
+    assert total("zorkling") == toxicity.LONE * 3.0 and total("zorkling idiot") == 7.0
+    assert total("I will kill you") > 0 and total("the kill switch") == 0 and total("") == 0
     assert len(g.clauses("idiot. idiot! fine. idiot")) == 3
 
 
+@pytest.mark.parametrize("part, text, verdict", [("TARGETS", "you are a twit and that is all of it", True), ("NEGATIONS", "he is not an idiot", False), ("REPORTS", "she said that he is an idiot", False), ("INTENTS", "i will kill you", True), ("THREATS", "i will kill you", True)])
+def test_each_transducer_decides(monkeypatch, part, text, verdict):
+    g = lambda: toxicity.Grammar({"=idiot": 4.0, "=twit": 1.5}, CURVE)
+    assert (g().score(text) >= toxicity.THRESHOLD) == verdict
+    monkeypatch.setattr(toxicity, part, set())
+    assert (g().score(text) >= toxicity.THRESHOLD) != verdict
+
+
+def test_learned_grammar_leaves_plain_words_alone(spark, documents):
+    g = toxicity.learn(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert not any(f[0] == "^" and len(f) < 6 for f in g.weights)
+    for text in ("The idea of the class display is clear.", "He has no idea.", "He is not an idiot.", "The kill switch works.", "", None):
+        assert g.score(text) < toxicity.THRESHOLD, text
+    for text in ("You are a fool and a coward.", "You are an idiot.", "I will kill you."):
+        assert g.score(text) >= toxicity.THRESHOLD, text
+
+
+def test_toxicity_labels(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    odd = labels.union(labels).union(spark.createDataFrame([(1, 7), (2, -1), (None, 1), (3, None)], "doc_id long, toxic int"))
+    a, b = (toxicity.learn(documents, x) for x in (labels, odd))
+    assert a.weights == b.weights and a.curve == pytest.approx(b.curve)
+
+
 def test_quality_classifier(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality_classifier.quality(documents, labels).join(labels, "doc_id").collect()
@@ -431,6 +490,34 @@ def test_quality_classifier(spark, documents):
     got = quality_classifier.quality(frame(spark, AWKWARD), labels).collect()
     assert len(got) == len(AWKWARD) and all(r.score == 1.0 for r in got)  # one class: nothing is rejected
     assert quality_classifier.quality(documents.select("doc_id", "text").limit(0), labels).count() == 0
+    assert sum((r.metadata_score >= 0.3) == r.quality for r in held) >= 0.8 * len(held) and sum((r.content_score >= 0.3) == r.quality for r in held) >= 0.75 * len(held)
+
+
+def test_quality_classifier_odd_labels_and_null_metadata(spark, documents):
+    few = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (4, -1), (5, None), (None, 1)], "doc_id long, quality int")
+    bare = documents.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).alias("source"), F.lit("x").alias("a"), F.lit(1).alias("score"))
+    got = quality_classifier.quality(bare.union(bare.limit(3)), few).collect()
+    assert len(got) == documents.count() + 3 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got}) > 2
+
+
+def test_surest_rows_are_those_of_the_whole_pool(spark):
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 256, (900, quality_classifier.CONTENT)).astype(np.uint8), r.random((900, quality_classifier.META)).astype(np.float32)
+    y = (a[:, 0] > 128).astype(float)
+    b[:, 0] = 9 * y
+    views = [quality_classifier.View(a, y, 1e-3), quality_classifier.View(b, y, 1e-3)]
+    pool = spark.createDataFrame([(x.tobytes(), z.tobytes()) for x, z in zip(a, b)], "a binary, b binary").repartition(7)
+    got, before = quality_classifier.surest_of(pool), set()
+    first = got(views, [20, 30], before)
+    assert len(first[3]) == 2 * (20 + 30) - (100 - len(before)) and first[0].shape == (len(first[3]), quality_classifier.CONTENT)
+    for k, x in ((0, a), (1, b)):
+        z, mine = views[k].z(x), views[k].z(first[k][first[2] == k])
+        for label, n in ((0, 20), (1, 30)):
+            s = np.sort(z if label else -z)[::-1]
+            chosen = np.sort(mine[first[3][first[2] == k] == label] * (1 if label else -1))[::-1]
+            assert len(chosen) <= n and (not len(chosen) or chosen[-1] >= s[n + 20] - 1 / quality_classifier.BINS)
+    second = got(views, [20, 30], before)
+    assert len(before) == len(first[3]) + len(second[3])
 
 
 def test_chat_views(spark):
