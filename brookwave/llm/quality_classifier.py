@@ -1,6 +1,7 @@
 """Quality classifier: co-training of a content view and a page-metadata view.
 
-- content: hashed frequencies of words, lower-cased and without the signs around them, and nothing else
+- content: hashed frequencies of words, lower-cased and without the signs around them, the share of distinct
+  words, that of the commonest one, and the mean length of words
 - metadata: source, language and declared length, and the layout of the page: lines, their lengths,
   repeated lines, shares of capitals, digits, blanks and signs. No word counts here, and no layout there
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from brookwave.llm.shared import dropped, read, stored, utf8
 from brookwave.llm.toxicity import chosen, held_out, logistic
 
-CONTENT, SOURCES, LANGS, LAYOUT = 512, 24, 8, 10
-META = SOURCES + LANGS + LAYOUT
+WORDS, SOURCES, LANGS, LAYOUT = 512, 24, 8, 10
+CONTENT, META = WORDS + 3, SOURCES + LANGS + LAYOUT
 LABELLED_ROWS = 6_000
 ROUNDS, GIVEN, SURE = 3, 200, 0.95
 BINS = 16  # of sureness, for each unit of log-odds
@@ -51,19 +53,23 @@ _memo: dict[bytes, int] = {}
 
 def _place(chunk: bytes) -> int:
     """Where a word counts."""
-    return zlib.crc32(chunk.decode("utf-8", "replace").strip(SIGNS_AROUND).lower().encode("utf-8", "replace")) % CONTENT
+    return zlib.crc32(chunk.decode("utf-8", "replace").strip(SIGNS_AROUND).lower().encode("utf-8", "replace")) % WORDS
 
 
 def content(text: str | None) -> np.ndarray:
-    """Roots of relative frequencies, in 255ths."""
+    """Roots of relative frequencies, and what is said of all words, in 255ths."""
     if len(_memo) > MEMO:
         _memo.clear()
     words = utf8(text).split()
-    for w in words:
-        if w not in _memo:
-            _memo[w] = _place(w)
-    n = np.bincount([_memo[w] for w in words], minlength=CONTENT) if words else np.zeros(CONTENT)
-    return np.round(255 * np.sqrt(n / max(1, len(words)))).astype(np.uint8)
+    out = np.zeros(CONTENT)
+    if words:
+        distinct = Counter(words)
+        for w in distinct:
+            if w not in _memo:
+                _memo[w] = _place(w)
+        out[:WORDS] = np.sqrt(np.bincount([_memo[w] for w in distinct], weights=list(distinct.values()), minlength=WORDS) / len(words))
+        out[WORDS:] = len(distinct) / len(words), max(distinct.values()) / len(words), min(1.0, sum(map(len, words)) / len(words) / 20)
+    return np.round(255 * out).astype(np.uint8)
 
 
 UPPER = bytes(range(0x41, 0x5B))
