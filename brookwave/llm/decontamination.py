@@ -7,10 +7,11 @@ a document's word that is in the index fetches its windows, the position bound k
 that fit into the document around it (the length bound: a document shorter than the window
 has none), and word-by-word comparison verifies the rest. Nothing is approximate.
 
-Rarity is the frequency over all benchmark items; the order decides the work, never the result.
-The index is broadcast in blocks of at most ``block_bytes`` of item text: a benchmark over that
-is worked off block by block against all documents and the hits are united. A window is eight
-bytes of the index, so a block's index is of the order of its text.
+Rarity is the frequency over the items of a block; the order decides the work, never the result.
+The index is broadcast in blocks of about ``block_bytes`` of item text: a benchmark over that
+is worked off block by block against all documents and the hits are united. Equal items are one in it, with all
+their ids, and long items come in pieces of ``PIECE_WORDS`` words that overlap by all but one word of a window, so a block
+is even, whatever the items are. A window is eight bytes of the index, so a block's index is of the order of its text.
 
 Defined results: null texts have no words and no hits; items without words never occur; rows
 with an equal doc_id are judged row by row; items with an equal item_id count once; an empty
@@ -34,14 +35,15 @@ from brookwave.llm.shared import read, stored, utf8
 
 WINDOW = 8
 BLOCK_BYTES = 16 << 20
+PIECE_WORDS = 5_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 FOUND = "doc_id long, text_hash long, n_words long, starts array<int>, lengths array<int>, items array<string>"
 KEEP = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Runs of digits, letters and anything beyond ASCII, A-Z lowered."""
-    return utf8(text).translate(KEEP).split()
+    return (text if isinstance(text, bytes) else utf8(text)).translate(KEEP).split()
 
 
 class Index:
@@ -51,7 +53,7 @@ class Index:
     """
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        rows = [(str(i), w) for i, text in items if i is not None and (w := words_of(text))]
+        rows = [(i if isinstance(i, frozenset) else frozenset([str(i)]), w) for i, text in items if i is not None and (w := words_of(text))]
         count = Counter(x for _, w in rows for x in w)
         rank = {x: k for k, x in enumerate(sorted(count, key=lambda x: (count[x], -len(x), x)))}
         word = {x: x for x in count}  # one object per word
@@ -77,7 +79,7 @@ class Index:
                     self.under[rarest] = array("q", [places[0] for places in equal.values()])
                     for places in equal.values():
                         if len(places) > 1:
-                            self.owners[places[0]] = frozenset(self.names[self.span(x)[0]] for x in places)
+                            self.owners[places[0]] = frozenset().union(*(self.names[self.span(x)[0]] for x in places))
 
     def span(self, place: int) -> tuple[int, int, int]:
         """The item that a filed window was seen in first, and where its words start and end."""
@@ -104,7 +106,7 @@ def occurrences(words: list[bytes], index: Index) -> tuple[set, set]:
     spans, ids = set(), set()
     for s, n, place, item in index.verified(words):
         spans.add((s, n))
-        ids |= index.owners.get(place) or {index.names[item]}
+        ids |= index.owners.get(place) or index.names[item]
     return spans, ids
 
 
@@ -170,11 +172,24 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _indexes(items: DataFrame, block_bytes: int) -> list:
     """For each block of items: a function that makes its index and sends it out."""
     sc = items.sparkSession.sparkContext
-    items = items.select("item_id", F.col("text").alias("item_text"))
-    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    pieces = stored(rows.mapInArrow(_pieces, "item_id string, piece binary").groupBy("piece").agg(F.collect_set("item_id").alias("ids")), "items")
+    size = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    part = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks))
-    return [lambda k=k: sc.broadcast(Index([tuple(r) for r in items.where(part == k).collect()])) for k in range(blocks)]
+    part = F.pmod(F.xxhash64("piece"), F.lit(blocks))
+    return [lambda k=k: sc.broadcast(Index([(frozenset(r.ids), bytes(r.piece)) for r in pieces.where(part == k).collect()])) for k in range(blocks)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """Words of items, joined by blanks, in pieces that hold every window."""
+    for b in batches:
+        ids, pieces = [], []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            w = words_of(text)
+            for at in range(0, max(1, len(w) - window + 1) if w else 0, PIECE_WORDS):
+                ids.append(i)
+                pieces.append(b" ".join(w[at : at + PIECE_WORDS + window - 1]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(pieces, pa.binary())], names=["item_id", "piece"])
 
 
 def without_items(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
