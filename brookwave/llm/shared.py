@@ -13,12 +13,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none (tests), a temporary one."""
+    """The folder all executors share; where a local session names none (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brookwave-"))
         made = spark.sparkContext.getCheckpointDir()
     return made
