@@ -46,7 +46,7 @@ LABELLED_ROWS = 6_000
 ROUNDS, GIVEN, SURE = 3, 200, 0.95
 BINS = 16  # of sureness, for each unit of log-odds
 THRESHOLD = 0.3
-MEMO = 1_000_000
+MEMO = 200_000  # words that a worker remembers
 SIGNS_AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _memo: dict[bytes, int] = {}
 

@@ -42,7 +42,7 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 STEMS = range(5, 9)
-MEMO = 1_000_000
+MEMO = 200_000  # words that a worker remembers
 #: Words of the fixed grammar; weights of insults are learned where training has them.
 SEED_INSULTS = {"idiot": 3.0, "moron": 3.0, "stupid": 2.5, "scum": 3.0, "loser": 2.5, "pathetic": 2.5, "worthless": 2.5, "disgusting": 2.0, "trash": 1.5, "clown": 1.5, "fool": 2.0, "coward": 2.0, "liar": 2.0, "filth": 2.5}
 TARGETS = {"you", "your", "you're", "youre", "u", "he", "she", "they", "them", "him", "her", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "usted", "ustedes", "vosotros"}
