@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brookwave.plans import signals, streams, studies
+from brookwave.plans import containers, rules, signals, streams, studies
 
-QUERIES: dict = streams.QUERIES | signals.QUERIES | studies.QUERIES
-SQL: dict = streams.SQL | signals.SQL | studies.SQL
+QUERIES: dict = streams.QUERIES | signals.QUERIES | studies.QUERIES | containers.QUERIES | rules.QUERIES
+SQL: dict = streams.SQL | signals.SQL | studies.SQL | containers.SQL | rules.SQL

@@ -7,7 +7,7 @@ sizes of all its units in order. Streams in parallel; a stream over the size lim
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,15 +93,18 @@ def m4a_files(units: DataFrame, core_rate: int, channels: int, object_type: int
     """units: stream_id, au_idx, payload. One row (stream_id, content, error) per stream."""
     config = built(object_type, core_rate, channels, sbr)
 
-    def make(table: pa.Table) -> pa.Table:
-        table = table.sort_by("au_idx")
-        try:
-            content, error = m4a((x or b"" for x in table["payload"].to_pylist()), config, priming), None
-        except ValueError as e:
-            content, error = None, str(e)
-        return pa.table({"stream_id": pa.array([table["stream_id"][0].as_py()], pa.string()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
-
-    return units.select(F.col("stream_id").cast("string").alias("stream_id"), "au_idx", "payload").groupBy("stream_id").applyInArrow(make, "stream_id string, content binary, error string")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):  # a file at a time
+                content, error = None, None
+                try:
+                    content = m4a((x or b"" for x in b.column(1)[k].as_py()), config, priming)
+                except ValueError as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["stream_id", "content", "error"])
+
+    lists = units.groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("units"))
+    return lists.select("stream_id", F.transform("units", lambda x: x["payload"]).alias("payloads")).mapInArrow(make, "stream_id string, content binary, error string")
 
 
 def framed(header: Column, payload: Column) -> Column:

@@ -129,14 +129,22 @@ def tracks(files: DataFrame) -> DataFrame:
         import pandas as pd
 
         names = [x.split(" ")[0] for x in TRACK.split(", ")]
+        def made(rows):
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            for c, keys in (("stts", ("count", "delta")), ("stsc", ("first", "per"))):
+                out[c] = [None if x is None else [dict(zip(keys, y, strict=True)) for y in x] for x in out[c]]
+            return out
+
         for f in frames:
+            rows, held = [], 0
             for path, content in zip(f["path"], f["content"], strict=True):
-                rows = list(tracks_of(path, bytes(content or b"")))
-                if rows:
-                    made = pd.DataFrame(rows, columns=names, dtype=object)
-                    for c, keys in (("stts", ("count", "delta")), ("stsc", ("first", "per"))):
-                        made[c] = [None if x is None else [dict(zip(keys, y, strict=True)) for y in x] for x in made[c]]
-                    yield made
+                rows += tracks_of(path, bytes(content or b""))
+                held += len(content or b"")
+                if rows and (len(rows) >= 1024 or held > 64 << 20):
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return files.select("path", "content").mapInPandas(run, TRACK)
 
