@@ -114,9 +114,9 @@ def plane_verdicts(spark, d):
 TAG = "1024 + l_suppkey AS priming, l_partkey AS remainder, l_orderkey * 1000 + l_linenumber AS source"
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN cut < 9 AND cut > 2 THEN 'need' WHEN l_linenumber = 2 THEN 'need' WHEN l_linenumber = 3 THEN 'absent' ELSE 'ready' END AS kind, CASE WHEN l_linenumber NOT IN (2, 3) THEN 154::BIGINT END AS size,
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN 'need' WHEN l_linenumber = 3 THEN 'absent' ELSE 'ready' END AS kind, CASE WHEN l_linenumber NOT IN (2, 3) THEN 146::BIGINT END AS size,
 CASE WHEN l_linenumber NOT IN (2, 3) THEN priming END AS priming, CASE WHEN l_linenumber NOT IN (2, 3) THEN remainder END AS remainder, CASE WHEN l_linenumber NOT IN (2, 3) THEN source END AS source,
-CASE l_linenumber WHEN 2 THEN 100 WHEN 3 THEN 158 ELSE 4 END::BIGINT AS rest FROM (SELECT *, 99 AS cut, {TAG} FROM lineitem)""")
+CASE l_linenumber WHEN 2 THEN 100 WHEN 3 THEN 150 ELSE 4 END::BIGINT AS rest FROM (SELECT *, {TAG} FROM lineitem)""")
 def tags_read(spark, d):
     line = F.col("l_linenumber")
     tag = T.tag_bytes(1024 + F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey") * 1000 + line)
