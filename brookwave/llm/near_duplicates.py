@@ -31,11 +31,13 @@ joined by their sets like any others; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,16 +277,34 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def numbered(docs: DataFrame, number: str) -> DataFrame:
+    """docs with a number of each row that is the same in every later job, whatever executors are lost meanwhile.
+
+    Rows of a plain scan of files are numbered by their file and their place in it, so nothing is copied; the list of
+    files, which the driver holds anyway, is broadcast. Rows of anything else are stored with numbers first.
+    """
+    plain = docs._jdf.queryExecution().analyzed().toString().split("\n")
+    if "_metadata" not in docs.columns and all(re.match(r"[\s:+-]*(Relation|Project|Filter|SubqueryAlias)\b", x) for x in plain if x):
+        try:
+            files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+            known = docs.sparkSession.createDataFrame(list(enumerate(files)), "file_number long, file_path string")
+            placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_place"))
+            rows = placed.join(F.broadcast(known), F.col("row_file") == F.col("file_path"))
+            return rows.select(*docs.columns, (F.shiftleft("file_number", 40) + F.col("row_place")).alias(number))
+        except AnalysisException:
+            pass  # files of a kind that has no places of rows
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, with its columns, and all rows that have no words.
 
     Rows are grouped by their own texts, whatever their doc_id: rows of one doc_id with different texts
     are different documents, repeated rows are copies of which one stays, and rows without doc_id are judged
-    like any others. The first of a group, in the order in which the rows were stored, stays. Rows get their
-    numbers as they are stored, so that they are the same ones in every later step.
+    like any others. The first of a group, in the order of the rows' numbers, stays.
     """
     number = next(f"row_{k}" for k in range(len(docs.columns) + 1) if f"row_{k}" not in docs.columns)
-    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, number)
     found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"))
     gone = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(number)), "gone")
     return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, number, "left_anti").select(*docs.columns)

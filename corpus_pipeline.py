@@ -18,7 +18,7 @@ from brookwave.llm.decontamination import without_items
 from brookwave.llm.near_duplicates import one_of_each
 from brookwave.llm.packing import default_tokenizer, pack
 from brookwave.llm.quality_classifier import of_quality
-from brookwave.llm.shared import read, stored
+from brookwave.llm.shared import read, small_batches, stored
 from brookwave.llm.toxicity import nontoxic
 
 
@@ -33,7 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, row by row: the first as the rows are stored."""
+    """One document of each group of near duplicates, row by row: the first in the order of files and of rows in them."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -44,6 +45,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, in sequences."""
+    small_batches(spark)
     return pack(docs, default_tokenizer())
 
 

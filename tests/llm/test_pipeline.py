@@ -54,6 +54,16 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert cp.near_dedup_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_rows_of_files_have_numbers_without_a_copy(spark, tmp_path):
+    from brookwave.llm.near_duplicates import numbered, one_of_each
+
+    odd_docs(spark).repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    rows = numbered(docs, "n")
+    assert rows.select("n").distinct().count() == len(ODD) and "Join" in rows._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.text or "-")[:1] for r in one_of_each(docs).collect()) == ["-", "-", "-", "a", "b", "c", "d"]
+
+
 def test_stages_with_odd_rows(spark):
     import corpus_pipeline as cp
 
