@@ -8,7 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MOST_ROWS = 1_000  # of texts that go to a Python worker at once; by default it is ten times as many
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what workers hold of texts: rows can be a hundred kilobytes long."""
+    if not 0 < int(spark.conf.get(BATCH, "10000")) <= MOST_ROWS:
+        spark.conf.set(BATCH, str(MOST_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -29,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, a lost executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
