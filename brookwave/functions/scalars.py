@@ -141,10 +141,10 @@ def hex_field(text: Column, width: int) -> Column:
 
 
 def gapless_fields(text: Column) -> Column:
-    """priming, remainder and source of a gapless comment: fields 2, 3 (8 digits) and 4 (16 digits)."""
+    """priming, remainder and source of a gapless comment: a zero, then fields of 8, 8 and 16 digits."""
     f = F.split(F.trim(text), r"\s+")
     p, r, s = hex_field(F.get(f, F.lit(1)), 8), hex_field(F.get(f, F.lit(2)), 8), hex_field(F.get(f, F.lit(3)), 16)
-    return F.when(p.isNotNull() & r.isNotNull() & s.isNotNull(), F.struct(p.alias("priming"), r.alias("remainder"), s.alias("source")))
+    return F.when((hex_field(F.get(f, F.lit(0)), 8) == 0) & p.isNotNull() & r.isNotNull() & s.isNotNull(), F.struct(p.alias("priming"), r.alias("remainder"), s.alias("source")))
 
 
 def gapless_comment(priming: Column, remainder: Column, source: Column) -> Column:
