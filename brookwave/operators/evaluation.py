@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,19 +45,42 @@ def lag_scores(a: Column, b: Column, most: int, size: int) -> Column:
     return F.array(*(one(k) for k in range(-most, most + 1)))
 
 
+def at_ranks(rows: DataFrame, group: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], ranges: int = 64) -> DataFrame:
+    """The group, the number n of its values, and the element at each rank (from 0, as a function of n), exactly.
+
+    Equal values are counted first. A group's values are cut into ranges by approximate quantiles, the ranges' exact
+    counts say which of them holds a rank, and only that one is sorted: a group with most of the rows is spread over
+    tasks, and none collects a list. Nulls don't count; a rank outside of the group gives null.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"), F.sum("_c").alias("n"))
+
+    def matched(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        named = right.select(*(F.col(g).alias(f"_r{k}") for k, g in enumerate([*group, *more])), *(c for c in right.columns if c not in (*group, *more)))
+        same = [F.col(g).eqNullSafe(F.col(f"_r{k}")) for k, g in enumerate([*group, *more])]
+        return left.join(named, reduce(lambda a, b: a & b, same, F.lit(True))).drop(*(f"_r{k}" for k in range(len(same))))
+
+    placed = matched(counts, cuts).withColumn("_k", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    per = placed.groupBy(*group, "_k").agg(F.sum("_c").alias("_in"), F.max("n").alias("n"))
+    per = per.withColumn("_before", F.sum("_in").over(Window.partitionBy(*group).orderBy("_k")) - F.col("_in"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items())))
+    wanted = per.withColumn("_q", asked).where((F.col("_q.rank") >= F.col("_before")) & (F.col("_q.rank") < F.col("_before") + F.col("_in"))).drop("n", "_in")
+    inside = Window.partitionBy(*group, "_q").orderBy("_v")
+    found = matched(placed.drop("n"), wanted, "_k").withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+    held = (F.col("_q.rank") < F.col("_end")) & (F.col("_q.rank") >= F.col("_end") - F.col("_c"))
+    values = found.where(held).groupBy(*group).agg(*(F.max(F.when(F.col("_q.name") == name, F.col("_v"))).alias(name) for name in ranks))
+    return matched(cuts.drop("_cuts"), values)
+
+
 def median_and_p95(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Mean of the middle values, and the element at round((n - 1) * 0.95): ranks, so no list is collected."""
-    w = Window.partitionBy(*group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    middle = (F.col("_i") >= F.floor((F.col("_n") - 1) / 2)) & (F.col("_i") <= F.floor(F.col("_n") / 2))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.when(middle, F.col(value))).alias("median"), F.max(F.when(F.col("_i") == F.round((F.col("_n") - 1) * 0.95), F.col(value))).alias("p95"))
+    """Mean of the middle values, and the element at round((n - 1) * 0.95)."""
+    found = at_ranks(rows, group, value, {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2), "p95": lambda n: F.round((n - 1) * 0.95)})
+    return found.select(*group, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), "p95")
 
 
 def nearest_rank(rows: DataFrame, group: Sequence[str], value: str, q: float) -> DataFrame:
     """The element at ceil(n * q): the third of the definitions in use."""
-    w = Window.partitionBy(*group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.greatest(F.lit(1), F.ceil(F.col("_n") * q))).select(*group, F.col(value).alias("value"))
+    return at_ranks(rows, group, value, {"value": lambda n: F.greatest(F.lit(1), F.ceil(n * q)) - 1}).select(*group, "value")
 
 
 def t975(df: Column) -> Column:

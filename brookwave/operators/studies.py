@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brookwave.operators.evaluation import dot
+from brookwave.operators.evaluation import at_ranks, dot
 from brookwave.operators.spectra import total
 
 #: Letters of blind names (none that look alike), the normal quantiles of 5 % one-sided and of 80 % power.
@@ -32,10 +32,8 @@ def rate_status(achieved: Column, wanted: Column, tolerance: float = 0.01) -> Co
 
 
 def upper_median(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """The element at n // 2 of the sorted values: by ranks, so no list is collected."""
-    w = Window.partitionBy(*group)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*group, F.col(value).alias("median"))
+    """The element at n // 2 of the sorted values."""
+    return at_ranks(rows, group, value, {"median": lambda n: F.floor(n / 2)}).select(*group, "median")
 
 
 def leading_quiet(plane: Column, below: float = 1e-4) -> Column:
