@@ -44,9 +44,10 @@ def adts_header(content: Column) -> dict[str, Column]:
     }
 
 
-def adts_bytes(profile: Column, fs_index: Column, ch_cfg: Column, frame_len: Column, fullness: Column, n_rdb: Column) -> Column:
-    """The seven bytes of a header without a check sum."""
-    high = F.lit(0xFFF1 << 40).bitwiseOR(F.shiftleft(profile.cast("long"), 38)).bitwiseOR(F.shiftleft(fs_index.cast("long"), 34)).bitwiseOR(F.shiftleft(ch_cfg.cast("long"), 30))
+def adts_bytes(profile: Column, fs_index: Column, ch_cfg: Column, frame_len: Column, fullness: Column, n_rdb: Column, bare: Column | None = None) -> Column:
+    """The seven bytes of a header; ``bare``: whether no check sum follows them (it is the caller's to add)."""
+    sync = F.lit(0xFFF1 << 40) if bare is None else F.when(bare, F.lit(0xFFF1 << 40)).otherwise(F.lit(0xFFF0 << 40))
+    high = sync.bitwiseOR(F.shiftleft(profile.cast("long"), 38)).bitwiseOR(F.shiftleft(fs_index.cast("long"), 34)).bitwiseOR(F.shiftleft(ch_cfg.cast("long"), 30))
     low = F.shiftleft(frame_len.cast("long"), 13).bitwiseOR(F.shiftleft(fullness.cast("long"), 2)).bitwiseOR(n_rdb.cast("long") - 1)
     return F.unhex(F.lpad(F.hex(high.bitwiseOR(low)), 14, "0"))
 

@@ -152,24 +152,24 @@ def sample_table_offsets(spark, d):
     return tables.sample_table(runs, chunks, sizes)
 
 
-FRAGMENT_SQL = """WITH r AS (SELECT l_suppkey AS track, l_orderkey AS seq, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey) AS sample,
+FRAGMENT_SQL = """WITH r AS (SELECT l_orderkey % 25 AS track, l_orderkey AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS sample,
 CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_quantity AS BIGINT) END AS size, CASE WHEN l_linenumber % 3 = 0 THEN 512 END AS dur FROM lineitem),
-j AS (SELECT r.*, coalesce(r.size, CASE WHEN o_orderkey % 3 <> 0 THEN 100 + o_orderkey % 10 END, 7) AS n, coalesce(r.dur, CASE WHEN o_orderkey % 2 = 0 THEN 1000 END, 1024) AS d,
-CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 ELSE o_orderkey * 100 END AS start FROM r JOIN orders ON o_orderkey = r.seq)
+j AS (SELECT r.*, coalesce(r.size, CASE WHEN o_orderkey % 3 <> 0 THEN 100 + o_orderkey % 10 END, 7 + n_regionkey) AS n, coalesce(r.dur, CASE WHEN o_orderkey % 2 = 0 THEN 1000 END, 1024) AS d,
+CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 10 ELSE o_orderkey * 100 END AS start FROM r JOIN orders ON o_orderkey = r.seq JOIN nation ON n_nationkey = track)
 SELECT track, seq, CAST(sample AS BIGINT) AS sample, CAST(start + coalesce(sum(n) OVER w, 0) AS BIGINT) AS off, CAST(n AS BIGINT) AS size, CAST(coalesce(sum(d) OVER w, 0) AS BIGINT) AS dts, CAST(d AS BIGINT) AS dur
 FROM j WINDOW w AS (PARTITION BY track, seq ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 @query(FRAGMENT_SQL)
 def fragment_defaults(spark, d):
-    orders, items = read(spark, d, "orders"), read(spark, d, "lineitem")
-    n = F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    runs = items.select(F.col("l_suppkey").alias("track"), F.col("l_orderkey").alias("seq"), n.cast("long").alias("sample"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("long")).alias("size"), F.when(F.col("l_linenumber") % 3 == 0, 512).alias("dur"))
+    """Orders are fragments of 25 tracks, and their lines the samples: one shuffle by fragment serves numbering, join and sums."""
+    n = F.row_number().over(Window.partitionBy("track", "seq").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    items = read(spark, d, "lineitem").withColumn("track", F.col("l_orderkey") % 25).withColumn("seq", F.col("l_orderkey"))
+    runs = items.select("track", "seq", n.cast("long").alias("sample"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity").cast("long")).alias("size"), F.when(F.col("l_linenumber") % 3 == 0, 512).alias("dur"))
     k = F.col("o_orderkey")
-    per_order = orders.select(k.alias("seq"), F.when(k % 4 == 0, k * 10).alias("base"), (k * 100).alias("moof_pos"), F.when(k % 3 != 0, 100 + k % 10).alias("def_size"), F.when(k % 2 == 0, 1000).alias("def_dur"))
-    fragments = runs.select("track", "seq").distinct().join(per_order, "seq")
-    defaults = read(spark, d, "supplier").select(F.col("s_suppkey").alias("track"), F.lit(7).alias("size0"), F.lit(1024).alias("dur0"))
-    return tables.resolved_fragments(runs, fragments, runs.select("track").distinct().join(defaults, "track", "left").select("track", F.coalesce("size0", F.lit(7)).alias("size0"), F.coalesce("dur0", F.lit(1024)).alias("dur0")))
+    fragments = read(spark, d, "orders").select((k % 25).alias("track"), k.alias("seq"), F.when(k % 4 == 0, k * 10).alias("base"), (k * 100).alias("moof_pos"), F.when(k % 3 != 0, 100 + k % 10).alias("def_size"), F.when(k % 2 == 0, 1000).alias("def_dur"))
+    defaults = read(spark, d, "nation").select(F.col("n_nationkey").alias("track"), (7 + F.col("n_regionkey")).alias("size0"), F.lit(1024).alias("dur0"))
+    return tables.resolved_fragments(runs, fragments, defaults)
 
 
 @query(f"""SELECT track, seq, sample, off, size, (sample + 1) * 2 > 3 AS shown FROM ({FRAGMENT_SQL}) WHERE sample < 3""")
@@ -178,9 +178,9 @@ def exact_seek_plan(spark, d):
 
 
 @query("""SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN c_custkey IS NULL THEN 'extra' WHEN o_custkey IS NULL THEN 'missing' ELSE 'matched' END AS status
-FROM customer FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey""")
+FROM customer FULL OUTER JOIN (SELECT DISTINCT l_partkey AS o_custkey FROM lineitem WHERE l_quantity = 50) ON c_custkey = o_custkey""")
 def identity_match_outer(spark, d):
-    found = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    found = read(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("c_custkey")).distinct()
     return identity.matched(read(spark, d, "customer").select("c_custkey"), found, ["c_custkey"]).select("c_custkey", "status")
 
 
@@ -189,14 +189,14 @@ def duplicate_identity(spark, d):
     return identity.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def retain_seen_semi(spark, d):
-    return identity.kept_states(read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return identity.kept_states(read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def extra_element_anti(spark, d):
-    return identity.extra_elements(read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return identity.extra_elements(read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P') WHERE n = 1""")
@@ -250,14 +250,14 @@ def syncsafe_numbers(spark, d):
     return read(spark, d, "orders").select("o_orderkey", S.syncsafe(n).alias("safe")).withColumn("back", S.unsyncsafe(F.col("safe")))
 
 
-HEADS = "l_orderkey, l_linenumber, l_suppkey % 4 AS profile, l_partkey % 13 AS fs_index, l_linenumber % 8 AS ch_cfg, l_partkey % 8185 + 7 AS frame_len, 2047 AS fullness, l_linenumber % 4 + 1 AS n_rdb"
+HEADS = "l_orderkey, l_linenumber, l_suppkey % 4 AS profile, l_partkey % 13 AS fs_index, l_linenumber % 8 AS ch_cfg, l_partkey % 8185 + 7 AS frame_len, 2047 AS fullness, l_linenumber % 4 + 1 AS n_rdb, l_suppkey % 3 > 0 AS bare"
 
 
 @query(f"""WITH h AS (SELECT {HEADS} FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(profile AS BIGINT) AS profile, CAST(fs_index AS BIGINT) AS fs_index, CAST(ch_cfg AS BIGINT) AS ch_cfg, CAST(frame_len AS BIGINT) AS frame_len,
-CAST(fullness AS BIGINT) AS fullness, CAST(n_rdb AS BIGINT) AS n_rdb, CAST(7 AS BIGINT) AS payload_offset, upper(printf('%014x', (CAST(65521 AS BIGINT) << 40) | (CAST(profile AS BIGINT) << 38) | (CAST(fs_index AS BIGINT) << 34) | (CAST(ch_cfg AS BIGINT) << 30) | (CAST(frame_len AS BIGINT) << 13) | (2047 << 2) | (n_rdb - 1))) AS bytes FROM h""")
+CAST(fullness AS BIGINT) AS fullness, CAST(n_rdb AS BIGINT) AS n_rdb, CAST(CASE WHEN bare THEN 7 WHEN n_rdb = 1 THEN 9 ELSE 7 + 2 * n_rdb END AS BIGINT) AS payload_offset, upper(printf('%014x', (CAST(CASE WHEN bare THEN 65521 ELSE 65520 END AS BIGINT) << 40) | (CAST(profile AS BIGINT) << 38) | (CAST(fs_index AS BIGINT) << 34) | (CAST(ch_cfg AS BIGINT) << 30) | (CAST(frame_len AS BIGINT) << 13) | (2047 << 2) | (n_rdb - 1))) AS bytes FROM h""")
 def header_round_trip(spark, d):
     h = read(spark, d, "lineitem").selectExpr(*HEADS.split(", "))
-    h = h.withColumn("b", S.adts_bytes(*(F.col(c) for c in ("profile", "fs_index", "ch_cfg", "frame_len", "fullness", "n_rdb"))))
+    h = h.withColumn("b", S.adts_bytes(*(F.col(c) for c in ("profile", "fs_index", "ch_cfg", "frame_len", "fullness", "n_rdb", "bare"))))
     f = S.adts_header(F.col("b"))
     return h.select("l_orderkey", "l_linenumber", *(f[c].cast("long").alias(c) for c in ("profile", "fs_index", "ch_cfg", "frame_len", "fullness", "n_rdb", "payload_offset")), F.hex("b").alias("bytes"))
 
