@@ -134,65 +134,77 @@ def _fragments(data: bytes) -> Iterator[tuple[int, int, list[tuple[str, bytes]]]
         yield held
 
 
-def samples_of(data: bytes) -> Iterator[tuple]:
-    """(fragment, sample, offset, size, dts, duration, error) of each sample; a sample lies in the media box behind its fragment.
+class Resolver:
+    """What is known before a fragment: the index's facts, the clock, where data ended, the last number, fragments so far.
 
     A base is the fragment's own, else its position if it says so, else where the data before ended, else its position.
     """
-    n = k = 0
+
+    def __init__(self, init: dict, clock: int = 0, ended: int | None = None, last: int | None = None, done: int = 0) -> None:
+        self.init, self.clock, self.ended, self.last, self.done, self.sample = init, clock, ended, last, done, 0
+
+    def state(self) -> tuple:
+        return self.clock, self.ended, self.last, self.done
+
+    def _header(self, parts: list[tuple[str, bytes]]) -> dict:
+        kinds = [x for x, _ in parts]
+        if kinds.count("traf") != 1 or "tfhd" not in kinds:
+            raise Fault("track fragments")
+        if ENCRYPTED & set(kinds):
+            raise Fault("encrypted")
+        for number in (struct.unpack_from(">I", body, 4)[0] for kind, body in parts if kind == "mfhd"):
+            if self.last is not None and number != (self.last + 1) % (1 << 32):
+                raise Fault("sequence")
+            self.last = number
+        head = fragment_header(next(b for x, b in reversed(parts) if x == "tfhd"))
+        if head["track"] != self.init["id"]:
+            raise Fault("another track")
+        if head["description"] not in (None, 1):
+            raise Fault("sample description")
+        for kind, body in parts:
+            self.clock = decode_time(body) if kind == "tfdt" else self.clock
+        return head
+
+    def samples(self, position: int, parts: list[tuple[str, bytes]], media: tuple[int, int] | None) -> Iterator[tuple]:
+        """Samples of a fragment at a position, which must lie in the media behind it."""
+        self.sample = 0
+        head = self._header(parts)
+        base = head["base"] if head["base"] is not None else position if head["from_moof"] or self.ended is None else self.ended
+        duration = self.init["default_duration"] if head["duration"] is None else head["duration"]
+        length = self.init["default_size"] if head["size"] is None else head["size"]
+        at = None
+        for body in (b for x, b in parts if x == "trun"):
+            offset, samples = run(body)
+            for place, (own_duration, own_size) in enumerate(samples):
+                if place == 0 and (offset is not None or at is None):
+                    at = base + (offset or 0)
+                d, s = duration if own_duration is None else own_duration, length if own_size is None else own_size
+                if not d and not head["empty"]:
+                    raise Fault("duration")
+                if media is None or at < media[0] or at + s > media[1]:
+                    raise Fault("outside the media")
+                yield self.done, self.sample, at, s, self.clock, d, None
+                at, self.clock, self.sample = at + s, self.clock + d, self.sample + 1
+            at = base if at is None else at
+        self.ended = self.ended if at is None else at
+        self.done += 1
+
+
+def samples_of(data: bytes) -> Iterator[tuple]:
+    """(fragment, sample, offset, size, dts, duration, error) of each sample; a sample lies in the media box behind its fragment."""
+    walk = None
     try:
-        init = init_of(data)
+        walk = Resolver(init_of(data))
         media = [(at + head, at + size) for at, size, head, kind, depth, _, _ in boxes_of(data) if depth == 0 and kind == "mdat"]
-        clock, ended, last, behind = 0, None, None, 0
+        behind = 0
         for position, end, parts in _fragments(data):
             while behind < len(media) and media[behind][0] < end:
                 behind += 1
-            kinds = [x for x, _ in parts]
-            if kinds.count("traf") != 1 or kinds.count("tfhd") < 1:
-                raise Fault("track fragments")
-            if ENCRYPTED & set(kinds):
-                raise Fault("encrypted")
-            for kind, body in parts:
-                if kind == "mfhd":
-                    number = struct.unpack_from(">I", body, 4)[0]
-                    if last is not None and number != (last + 1) % (1 << 32):
-                        raise Fault("sequence")
-                    last = number
-            head = fragment_header(next(b for x, b in reversed(parts) if x == "tfhd"))
-            if head["track"] != init["id"]:
-                raise Fault("another track")
-            if head["description"] not in (None, 1):
-                raise Fault("sample description")
-            times = [decode_time(b) for x, b in parts if x == "tfdt"]
-            clock = times[-1] if times else clock
-            base = head["base"] if head["base"] is not None else position if head["from_moof"] or ended is None else ended
-            duration = init["default_duration"] if head["duration"] is None else head["duration"]
-            length = init["default_size"] if head["size"] is None else head["size"]
-            at, k = None, 0
-            for kind, body in parts:
-                if kind != "trun":
-                    continue
-                offset, samples = run(body)
-                first = True
-                for own_duration, own_size in samples:
-                    if first:
-                        at, first = base + offset if offset is not None else base if at is None else at, False
-                    d, s = duration if own_duration is None else own_duration, length if own_size is None else own_size
-                    if not d and not head["empty"]:
-                        raise Fault("duration")
-                    if behind >= len(media) or at < media[behind][0] or at + s > media[behind][1]:
-                        raise Fault("outside the media")
-                    yield n, k, at, s, clock, d, None
-                    at, clock, k = at + s, clock + d, k + 1
-                at = base if at is None else at
-            ended = ended if at is None else at
-            n += 1
-        if n == 0:
+            yield from walk.samples(position, parts, media[behind] if behind < len(media) else None)
+        if not walk.done:
             raise Fault("no fragments")
-    except Fault as e:
-        yield n, k, None, None, None, None, str(e)
-    except (struct.error, IndexError, ValueError):
-        yield n, k, None, None, None, None, "too short"
+    except (Fault, struct.error, IndexError, ValueError) as e:
+        yield (walk.done if walk else 0), (walk.sample if walk else 0), None, None, None, None, str(e) if isinstance(e, Fault) else "too short"
 
 
 def fragment_samples(files: DataFrame) -> DataFrame:
