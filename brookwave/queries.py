@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brookwave.plans import containers, fragmented, rules, signals, streams, studies
+from brookwave.plans import containers, decoding, fragmented, rules, signals, streams, studies
 
-QUERIES: dict = streams.QUERIES | signals.QUERIES | studies.QUERIES | containers.QUERIES | rules.QUERIES | fragmented.QUERIES
-SQL: dict = streams.SQL | signals.SQL | studies.SQL | containers.SQL | rules.SQL | fragmented.SQL
+QUERIES: dict = streams.QUERIES | signals.QUERIES | studies.QUERIES | containers.QUERIES | rules.QUERIES | fragmented.QUERIES | decoding.QUERIES
+SQL: dict = streams.SQL | signals.SQL | studies.SQL | containers.SQL | rules.SQL | fragmented.SQL | decoding.SQL
