@@ -299,13 +299,19 @@ def _scored(known, order: int):
     """A block's texts with the code lengths of its places."""
 
     def run(texts: pa.Table, lengths: pa.Table) -> pa.Table:
-        logs, out = known.value, []
+        logs, parts = known.value, []
         gram, length = lengths.column("gram").to_numpy(), lengths.column("length").to_numpy()
         sort = np.argsort(gram)
         gram, length = gram[sort], length[sort]
-        for row, doc_id, held, raw in zip(*(texts.column(x).to_pylist() for x in ("row", "doc_id", "held_out", "raw")), strict=True):
-            out.append((row, doc_id, held, *_rated(raw, logs, float(length[np.searchsorted(gram, grams(_stream(raw, order), order))].sum()))))
-        return pa.Table.from_arrays(_table(out), names=NAMES)
+        for b in texts.select(["row", "doc_id", "held_out", "raw"]).to_batches(max_chunksize=1000):  # few rows as Python values at once
+            out = []
+            for row, doc_id, held, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                stream, total = _stream(raw, order), 0.0
+                for at in range(0, len(stream) - order, PIECE):
+                    total += float(length[np.searchsorted(gram, grams(stream[at : at + PIECE + order], order))].sum())
+                out.append((row, doc_id, held, *_rated(raw, logs, total)))
+            parts.append(pa.RecordBatch.from_arrays(_table(out), names=NAMES))
+        return pa.Table.from_batches(parts) if parts else pa.Table.from_arrays(_table([]), names=NAMES)
 
     return run
 
