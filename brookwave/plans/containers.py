@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brookwave.functions import scalars as S
 from brookwave.operators import kernels as K
-from brookwave.plans.shared import read
+from brookwave.plans.shared import read, spread
 from brookwave.sources import bitio, boxes_write, configs, loas, media, movies
 
 QUERIES, SQL = {}, {}
@@ -101,7 +101,7 @@ c AS (SELECT c_custkey, {crc_sql('v', 64, 0x8005, 16, 0xFFFF)} AS wide, {crc_sql
 SELECT c_custkey, wide AS by_table, wide AS by_bits, narrow AS of_bits, narrow AS of_bytes FROM c""")
 def checksums(spark, d):
     schema = "c_custkey long, by_table long, by_bits long, of_bits long, of_bytes long"
-    return read(spark, d, "customer").select("c_custkey").mapInArrow(in_arrow(_sums, schema), schema)
+    return spread(read(spark, d, "customer").select("c_custkey")).mapInArrow(in_arrow(_sums, schema), schema)
 
 
 @query(f"""WITH u AS ({UNITS})

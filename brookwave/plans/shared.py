@@ -5,3 +5,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows in as many tasks as a shuffle has, whatever their files give: a small table is one row group, so one task.
+
+    For passes whose work on a row is far more than the row's shuffle.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
