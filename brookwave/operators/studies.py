@@ -132,8 +132,10 @@ def blind_name(seed: str, *parts: Column) -> Column:
 def seeded_order(items: Column, seed: str, *parts: Column) -> Column:
     """Items in the order of swaps from the end that a seed and parts always give; for lists of a session's size."""
 
-    def swap(held: Column, i: Column) -> Column:
-        j = (_number(F.substring(_digest(seed, *parts, i), 1, 8)) % (i + 1)).cast("int")
+    draws = F.transform(F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1)), lambda i: F.struct(i.alias("i"), (_number(F.substring(_digest(seed, *parts, i), 1, 8)) % (i + 1)).cast("int").alias("j")))
+
+    def swap(held: Column, d: Column) -> Column:
+        i, j = d["i"], d["j"]  # drawn once for a swap, not once for each item it passes
         return F.transform(held, lambda x, k: F.when(k == i, F.get(held, j)).when(k == j, F.get(held, i)).otherwise(x))
 
-    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1)), items, swap))
+    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(draws, items, swap))

@@ -8,7 +8,7 @@ from brookwave.functions import limits as L
 from brookwave.operators import evaluation as E
 from brookwave.operators import resampling
 from brookwave.operators import studies as T
-from brookwave.plans.shared import read
+from brookwave.plans.shared import read, spread
 from brookwave.plans.signals import PAIR_FLAT, PAIRS, _pairs
 
 QUERIES, SQL = {}, {}
@@ -153,7 +153,7 @@ def blind_names(spark, d):
 def session_orders(spark, d):
     """Each listener's own order of twelve items; the swaps are beyond SQL and tested against a loop."""
     items = F.sequence(F.lit(0), F.lit(11))
-    return read(spark, d, "customer").select("c_custkey", T.seeded_order(items, "study", F.col("c_custkey")).alias("items"))
+    return spread(read(spark, d, "customer").select("c_custkey")).select("c_custkey", T.seeded_order(items, "study", F.col("c_custkey")).alias("items"))
 
 
 @query()

@@ -22,6 +22,12 @@ def test_session_orders_equal_the_loop(spark):
         assert r["items"] == items
 
 
+def test_session_orders_draw_once_a_swap(spark):
+    orders = studies.session_orders(spark, SF)
+    assert orders._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert orders.rdd.getNumPartitions() > 1  # a small file is one task
+
+
 def test_short_lists_stay(spark):
     x = spark.createDataFrame([([],), ([7],), (None,)], "items array<int>")
     assert [r[0] for r in x.select(T.seeded_order(F.col("items"), "s")).collect()] == [[], [7], None]
