@@ -164,7 +164,7 @@ def file_timing(spark, d):
 SELECT stream, 'ftyp' AS type, 0::BIGINT AS pos, 28::BIGINT AS content_end FROM t
 UNION ALL SELECT stream, 'mdat', 28, CAST(36 + total AS BIGINT) FROM t""")
 def box_walk(spark, d):
-    found = media.boxes(m4a_files(spark, d)).where("error is null and depth = 0 and type <> 'moov'")
+    found = media.boxes(m4a_files(spark, d), deepest=0).where("error is null and depth = 0 and type <> 'moov'")
     return found.select(F.col("path").cast("long").alias("stream"), "type", "pos", (F.col("pos") + F.col("size")).alias("content_end"))
 
 

@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookwave.sources.configs import built, parsed
+from brookwave.sources.media import MOST_HELD, MOST_ROWS
 
 #: Limits of 32-bit offsets and of the number of units of a file.
 MOST_BYTES, MOST_UNITS = (1 << 32) - 1, 1 << 20
+#: Units of a file up to which the rest of its index is remembered.
+FEW_UNITS = 1024
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -50,25 +54,36 @@ def movie(sizes: list[int], first: int, config: bytes, channels: int, rate: int,
     coded = len(sizes) * frame
     if priming < 0 or valid < 0 or priming + valid > coded:
         raise ValueError("more samples are presented than coded")
-    total = sum(sizes)
-    mean = total * 8 * rate // coded if coded else 0
+    mean = sum(sizes) * 8 * rate // coded if coded else 0
     peak = max(sizes, default=0) * 8 * rate // frame
+    around = _index if len(sizes) <= FEW_UNITS else _index.__wrapped__
+    head, middle, tail = around(len(sizes), first, config, channels, rate, frame, priming, valid)
+    return b"".join((head, struct.pack(">II", peak, mean), middle, struct.pack(f">{len(sizes)}I", *sizes), tail))
+
+
+@lru_cache(1024)
+def _index(n: int, first: int, config: bytes, channels: int, rate: int, frame: int, priming: int, valid: int) -> tuple[bytes, bytes, bytes]:
+    """An index around its rates and around its table of sizes: files of as many units share the rest."""
+    coded = n * frame
     head = full_box(b"mvhd", 0, 0, struct.pack(">IIII", 0, 0, rate, valid), struct.pack(">IH10x", 0x10000, 0x100), MATRIX, bytes(24), struct.pack(">I", 2))
     track = full_box(b"tkhd", 0, 7, struct.pack(">IIIII8xHHHH", 0, 0, 1, 0, valid, 0, 0, 0x100, 0), MATRIX, bytes(8))
     edit = box(b"edts", full_box(b"elst", 0, 0, struct.pack(">IIiHH", 1, valid, priming, 1, 0)))
     media = full_box(b"mdhd", 0, 0, struct.pack(">IIIIHH", 0, 0, rate, coded, 0x55C4, 0))
     handler = full_box(b"hdlr", 0, 0, struct.pack(">I4s12x", 0, b"soun"), b"\0")
-    entry = box(b"mp4a", bytes(6), struct.pack(">H8xHHHHI", 1, channels, 16, 0, 0, min(rate, 0xFFFF) << 16), full_box(b"esds", 0, 0, decoder_config(config, peak, mean)))
+    entry = box(b"mp4a", bytes(6), struct.pack(">H8xHHHHI", 1, channels, 16, 0, 0, min(rate, 0xFFFF) << 16), full_box(b"esds", 0, 0, decoder_config(config, 0, 0)))
     table = box(
         b"stbl", full_box(b"stsd", 0, 0, struct.pack(">I", 1), entry),
-        full_box(b"stts", 0, 0, struct.pack(">III", 1, len(sizes), frame) if sizes else struct.pack(">I", 0)),
-        full_box(b"stsc", 0, 0, struct.pack(">IIII", 1, 1, len(sizes), 1) if sizes else struct.pack(">I", 0)),
-        full_box(b"stsz", 0, 0, struct.pack(">II", 0, len(sizes)), struct.pack(f">{len(sizes)}I", *sizes)),
-        full_box(b"stco", 0, 0, struct.pack(">II", 1, first) if sizes else struct.pack(">I", 0)),
+        full_box(b"stts", 0, 0, struct.pack(">III", 1, n, frame) if n else struct.pack(">I", 0)),
+        full_box(b"stsc", 0, 0, struct.pack(">IIII", 1, 1, n, 1) if n else struct.pack(">I", 0)),
+        full_box(b"stsz", 0, 0, struct.pack(">II", 0, n), bytes(4 * n)),
+        full_box(b"stco", 0, 0, struct.pack(">II", 1, first) if n else struct.pack(">I", 0)),
     )
     reference = box(b"dinf", full_box(b"dref", 0, 0, struct.pack(">I", 1), full_box(b"url ", 0, 1)))
     information = box(b"minf", full_box(b"smhd", 0, 0, bytes(4)), reference, table)
-    return box(b"moov", head, box(b"trak", track, edit, box(b"mdia", media, handler, information)))
+    whole = box(b"moov", head, box(b"trak", track, edit, box(b"mdia", media, handler, information)))
+    rates = whole.index(entry) + entry.index(b"esds") + 8 + len(decoder_config(config, 0, 0)) - len(descriptor(5, config)) - len(descriptor(6, b"\x02")) - 8
+    table_at = whole.index(table) + table.rindex(b"stsz") + 16
+    return whole[:rates], whole[rates + 8 : table_at], whole[table_at + 4 * n :]
 
 
 def m4a(units: Iterable[bytes], config: bytes, priming: int = 0, valid: int | None = None) -> bytes:
@@ -93,18 +108,31 @@ def m4a_files(units: DataFrame, core_rate: int, channels: int, object_type: int
     """units: stream_id, au_idx, payload. One row (stream_id, content, error) per stream."""
     config = built(object_type, core_rate, channels, sbr)
 
+    def batch(keys: list, contents: list, errors: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["stream_id", "content", "error"])
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, contents, errors, held = [], [], [], 0  # of many small files, or of a large one
         for b in batches:
-            for k in range(b.num_rows):  # a file at a time
+            for key, payloads in zip(b.column(0), b.column(1), strict=True):
                 content, error = None, None
                 try:
-                    content = m4a((x or b"" for x in b.column(1)[k].as_py()), config, priming)
+                    content = m4a((x or b"" for x in payloads.as_py()), config, priming)
                 except ValueError as e:
                     error = str(e)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["stream_id", "content", "error"])
-
-    lists = units.groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("units"))
-    return lists.select("stream_id", F.transform("units", lambda x: x["payload"]).alias("payloads")).mapInArrow(make, "stream_id string, content binary, error string")
+                keys.append(key.as_py())
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if len(keys) == MOST_ROWS or held > MOST_HELD:
+                    yield batch(keys, contents, errors)
+                    keys, contents, errors, held = [], [], [], 0
+        if keys:
+            yield batch(keys, contents, errors)
+
+    # grouped by the key as it comes: its string would be one more shuffle
+    lists = units.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("units"))
+    return lists.select(F.col("stream_id").cast("string").alias("stream_id"), F.transform("units", lambda x: x["payload"]).alias("payloads")).mapInArrow(make, "stream_id string, content binary, error string")
 
 
 def framed(header: Column, payload: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,11 @@ from brookwave.functions.scalars import bits, word
 
 #: Sampling rates by index.
 RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+#: Rows of a batch, and bytes of the files that they come from.
+MOST_ROWS, MOST_HELD = 4096, 8 << 20
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"mvex", b"moof", b"traf", b"udta"}
+_HEAD = struct.Struct(">I4s").unpack_from
 FRAMES = "path string, au_idx int, off long, frame_len int, profile int, fs_index int, sample_rate int, ch_cfg int, n_rdb int, payload binary, error string"
 BOXES = "path string, pos long, size long, header_len int, type string, depth int, parent_pos long, error string"
 
@@ -72,14 +76,17 @@ def frames_of(data: bytes) -> Iterator[tuple]:
         at, n = at + size, n + 1
 
 
-def boxes_of(data: bytes, most_depth: int = 16) -> Iterator[tuple]:
-    """(position, size, header length, type, depth, parent's position, error) of each box, parents first."""
+def boxes_of(data: bytes, most_depth: int = 16, deepest: int | None = None) -> Iterator[tuple]:
+    """(position, size, header length, type, depth, parent's position, error) of each box, parents first.
+
+    ``deepest``: boxes below this depth are not asked for, and their parents not entered.
+    """
     todo = [(0, len(data), 0, None)]
     while todo:
         at, end, depth, parent = todo.pop()
         if at + 8 > end:
             continue
-        size, kind, head = struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8], 8
+        (size, kind), head = _HEAD(data, at), 8
         if size == 1:
             if at + 16 > end:
                 yield at, 1, 8, kind.decode("latin-1"), depth, parent, "truncated"
@@ -92,22 +99,30 @@ def boxes_of(data: bytes, most_depth: int = 16) -> Iterator[tuple]:
         if fault:
             continue
         todo.append((at + size, end, depth, parent))
-        if kind in CONTAINERS:
+        if kind in CONTAINERS and (deepest is None or depth < deepest):
             todo.append((at + head, at + size, depth + 1, at))
 
 
 def _exploded(rows_of, schema: list[tuple[str, pa.DataType]]):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[x for x, _ in schema])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0  # of many small files, or of a piece of a large one
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = []
-                for r in rows_of(content or b""):
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                path, content = path.as_py(), content.as_py() or b""
+                for r in rows_of(content):
                     rows.append((path, *r))
-                    if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[x for x, _ in schema])
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[x for x, _ in schema])
+                    if len(rows) == MOST_ROWS:
+                        yield batch(rows)
+                        rows, held = [], 0
+                held += len(content)
+                if rows and held > MOST_HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     return run
 
@@ -122,9 +137,9 @@ def adts_frames(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_exploded(frames_of, _arrow(FRAMES)), FRAMES)
 
 
-def boxes(files: DataFrame) -> DataFrame:
-    """One row per box of (path, content) rows."""
-    return files.select("path", "content").mapInArrow(_exploded(boxes_of, _arrow(BOXES)), BOXES)
+def boxes(files: DataFrame, deepest: int | None = None) -> DataFrame:
+    """One row per box of (path, content) rows, down to a depth (null: all)."""
+    return files.select("path", "content").mapInArrow(_exploded(partial(boxes_of, deepest=deepest), _arrow(BOXES)), BOXES)
 
 
 def exact_frames(files: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ TRACK = (
     "stts array<struct<count:long,delta:long>>, stsc array<struct<first:long,per:long>>, sizes array<long>, size_of_all long, n_sizes long, chunks array<long>, error string"
 )
 MOST_DESCRIPTORS = 16
+#: Boxes of a track that are read.
+READ = {"hdlr", "mdhd", "elst", "stts", "stsc", "stco", "co64", "stsz", "stsd"}
 
 
 def varint_at(data: bytes, at: int) -> tuple[int, int]:
@@ -113,7 +115,7 @@ def tracks_of(path: str, data: bytes) -> Iterator[dict]:
         if kind == "trak":
             t = dict.fromkeys((x.split(" ")[0] for x in TRACK.split(", ")), None) | {"path": path, "track": n, "movie_timescale": movie, "edits": 0}
             n, bound = n + 1, at + size
-        elif t and not t["error"]:
+        elif t and kind in READ and not t["error"]:
             try:
                 _read(kind, data[at + head : at + size], t)
             except (ValueError, struct.error, IndexError) as e:

@@ -104,3 +104,28 @@ def test_limits():
     at = broken.find(b"stsz")
     broken[at + 12 : at + 16] = b"\x7f\xff\xff\xff"
     assert [t["error"] for t in movies.tracks_of("p", bytes(broken))] == ["table longer than its box"]
+
+
+def test_small_files_share_batches():
+    import pyarrow as pa
+    from brookwave.sources import media
+
+    config = configs.built(2, 48000, 2)
+    data = [boxes_write.m4a([bytes(k)], config) for k in range(1, 101)]
+    files = [pa.RecordBatch.from_pydict({"path": list(map(str, range(k, k + 50))), "content": data[k : k + 50]}) for k in (0, 50)]
+    made = list(media._exploded(media.boxes_of, media._arrow(media.BOXES))(iter(files)))
+    assert len(made) == 1 and made[0].column(0).to_pylist() == [str(k) for k, d in enumerate(data) for _ in media.boxes_of(d)]
+    long = pa.RecordBatch.from_pydict({"path": ["x"], "content": [boxes_write.box(b"free") * 10_000]})
+    assert [b.num_rows for b in media._exploded(media.boxes_of, media._arrow(media.BOXES))(iter([long]))] == [4096, 4096, 1808]
+    assert [x[3] for x in media.boxes_of(data[0], deepest=0)] == ["ftyp", "mdat", "moov"]
+    assert list(media.boxes_of(data[0], deepest=1)) == [x for x in media.boxes_of(data[0]) if x[4] < 2]
+
+
+def test_remembered_indices():
+    config, other = configs.built(2, 48000, 2), configs.built(2, 24000, 1, True)
+    for c, u in ((config, [b"ab", b"c"]), (other, [b"ab", b"c"]), (config, [b"x", b"yyy"]), (config, [b"z"] * 1500)):  # the last is not remembered
+        t = next(movies.tracks_of("", boxes_write.m4a(u, c)))
+        assert (t["sizes"], t["config"], t["chunks"]) == ([*map(len, u)], c, [36])
+    kept = configs.parsed(config)
+    kept["rate"] = 1
+    assert configs.parsed(config)["rate"] == 48000
