@@ -1,24 +1,29 @@
 """Files of boxes as tables: tracks, their sample tables, edits and configurations, and access units.
 
 ``tracks`` reads the index of each file once and gives one row per track with its run-length tables
-as arrays; the rest is relational: runs explode, chunk and sample positions are window sums
-(operators/timeline.py has the same on flat tables), and units are substrings of the file.
+as arrays; places of units follow from a track's tables in one more pass over its row, without a shuffle
+(operators/timeline.py has the same as window sums on flat tables), and units are substrings of the file.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from itertools import islice, pairwise, repeat
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookwave.sources.media import boxes_of
+from brookwave.sources.media import MOST_ROWS, _exploded, boxes_of
 
 TRACK = (
     "path string, track int, handler string, timescale long, duration long, movie_timescale long, config binary, edit_start long, edit_duration long, edits int, "
-    "stts array<struct<count:long,delta:long>>, stsc array<struct<first:long,per:long>>, sizes array<long>, size_of_all long, n_sizes long, chunks array<long>, error string"
+    "stts array<struct<count:long,delta:long>>, stsc array<struct<first:long,per:long>>, sizes array<long>, size_of_all long, n_sizes long, chunks array<long>, error string, usable boolean"
 )
+NAMES = [x.split(" ")[0] for x in TRACK.split(", ")]
+UNITS = "path string, track int, au_idx long, offset long, size long"
 MOST_DESCRIPTORS = 16
 #: Boxes of a track that are read.
 READ = {"hdlr", "mdhd", "elst", "stts", "stsc", "stco", "co64", "stsz", "stsd"}
@@ -113,7 +118,7 @@ def tracks_of(path: str, data: bytes) -> Iterator[dict]:
         if kind == "mvhd" and not fault:
             movie = _clock(data[at + head : at + size])[0]
         if kind == "trak":
-            t = dict.fromkeys((x.split(" ")[0] for x in TRACK.split(", ")), None) | {"path": path, "track": n, "movie_timescale": movie, "edits": 0}
+            t = dict.fromkeys(NAMES) | {"path": path, "track": n, "movie_timescale": movie, "edits": 0}
             n, bound = n + 1, at + size
         elif t and kind in READ and not t["error"]:
             try:
@@ -125,36 +130,26 @@ def tracks_of(path: str, data: bytes) -> Iterator[dict]:
 
 
 def tracks(files: DataFrame) -> DataFrame:
-    """One row per track of (path, content) rows."""
+    """One row per track of (path, content) rows; ``usable``: the first sound track of its file that has a configuration and no fault."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    kinds |= {f"array<struct<{a}:long,{b}:long>>": pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])) for a, b in (("count", "delta"), ("first", "per"))}
+    schema = [(n, kinds[k]) for n, k in re.findall(r"(\w+) (array<struct<.*?>>|[\w<>]+)", TRACK)]
 
-    def run(frames):
-        import pandas as pd
+    def rows_of(content: bytes) -> Iterator[tuple]:
+        found = False
+        for t in tracks_of("", content):
+            t["usable"] = not found and t["handler"] == "soun" and t["config"] is not None and not t["error"]
+            found = found or t["usable"]
+            for c, (a, b) in (("stts", ("count", "delta")), ("stsc", ("first", "per"))):
+                t[c] = None if t[c] is None else [{a: x, b: y} for x, y in t[c]]
+            yield tuple(t[n] for n in NAMES[1:])
 
-        names = [x.split(" ")[0] for x in TRACK.split(", ")]
-        def made(rows):
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            for c, keys in (("stts", ("count", "delta")), ("stsc", ("first", "per"))):
-                out[c] = [None if x is None else [dict(zip(keys, y, strict=True)) for y in x] for x in out[c]]
-            return out
-
-        for f in frames:
-            rows, held = [], 0
-            for path, content in zip(f["path"], f["content"], strict=True):
-                rows += tracks_of(path, bytes(content or b""))
-                held += len(content or b"")
-                if rows and (len(rows) >= 1024 or held > 64 << 20):
-                    yield made(rows)
-                    rows, held = [], 0
-            if rows:
-                yield made(rows)
-
-    return files.select("path", "content").mapInPandas(run, TRACK)
+    return files.select("path", "content").mapInArrow(_exploded(rows_of, schema), TRACK)
 
 
 def first_usable(found: DataFrame) -> DataFrame:
     """The first sound track of each file that has a configuration and no fault."""
-    usable = found.where((F.col("handler") == "soun") & F.col("error").isNull() & F.col("config").isNotNull())
-    return usable.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("track"))).where("place = 1").drop("place")
+    return found.where("usable")
 
 
 def chunk_counts(found: DataFrame) -> DataFrame:
@@ -164,18 +159,44 @@ def chunk_counts(found: DataFrame) -> DataFrame:
     return rows.select("path", "track", "chunk", "offset", F.element_at(runs, -1)["per"].alias("n"))
 
 
-def units(found: DataFrame) -> DataFrame:
-    """(path, track, au_idx, offset, size) of every access unit.
+def _placed(chunks: list[int] | None, stsc: list[dict] | None, sizes: list[int] | None, size_of_all: int | None, n_sizes: int | None) -> Iterator[tuple]:
+    """(au_idx, offset, size) of a track's units: a run of the chunk table holds up to the next run's first chunk."""
+    sizes = repeat(size_of_all, n_sizes or 0) if size_of_all else iter(sizes or ())
+    runs, run, n = stsc or [], 0, 0
+    rising = all(x["first"] <= y["first"] for x, y in pairwise(runs))
+    for chunk, at in enumerate(chunks or (), 1):
+        if rising:
+            while run < len(runs) and runs[run]["first"] <= chunk:
+                run += 1
+            per = runs[run - 1]["per"] if run else 0
+        else:  # of faulty tables the last run that begins
+            per = next((x["per"] for x in reversed(runs) if x["first"] <= chunk), 0)
+        for size in islice(sizes, per):
+            yield n, at, size
+            n, at = n + 1, at + size
 
-    Windows are per track: positions in a chunk are sums of the sizes before.
-    """
-    one = Window.partitionBy("path", "track").orderBy("chunk")
-    starts = chunk_counts(found).withColumn("first", F.sum("n").over(one) - F.col("n"))
-    placed = starts.select("path", "track", "offset", "chunk", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("au_idx")).where("au_idx >= 0")
-    sizes = found.select("path", "track", F.posexplode(F.when(F.col("size_of_all") > 0, F.array_repeat("size_of_all", F.col("n_sizes").cast("int"))).otherwise(F.col("sizes"))).alias("au_idx", "size"))
-    inside = Window.partitionBy("path", "track", "chunk").orderBy("au_idx")
-    joined = placed.join(sizes.withColumn("au_idx", F.col("au_idx").cast("long")), ["path", "track", "au_idx"])
-    return joined.select("path", "track", "au_idx", (F.col("offset") + F.sum("size").over(inside) - F.col("size")).alias("offset"), "size")
+
+def units(found: DataFrame) -> DataFrame:
+    """(path, track, au_idx, offset, size) of every access unit, in one pass over the tracks: a track's tables lie in its row."""
+    schema = [("path", pa.string()), ("track", pa.int32()), ("au_idx", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for b in batches:
+            for path, track, *tables in zip(*b.columns, strict=True):
+                path, track = path.as_py(), track.as_py()
+                for x in _placed(*(t.as_py() for t in tables)):
+                    rows.append((path, track, *x))
+                    if len(rows) == MOST_ROWS:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    return found.select("path", "track", "chunks", "stsc", "sizes", "size_of_all", "n_sizes").mapInArrow(run, UNITS)
 
 
 def with_payloads(files: DataFrame, placed: DataFrame) -> DataFrame:

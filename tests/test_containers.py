@@ -129,3 +129,23 @@ def test_remembered_indices():
     kept = configs.parsed(config)
     kept["rate"] = 1
     assert configs.parsed(config)["rate"] == 48000
+
+
+def test_units_lie_by_their_tables_without_a_shuffle(spark):
+    runs = [{"first": 1, "per": 2}, {"first": 3, "per": 1}]
+    assert list(movies._placed([100, 200, 300, 400], runs, [5, 6, 7, 8, 9, 10, 11], 0, 7)) == [(0, 100, 5), (1, 105, 6), (2, 200, 7), (3, 207, 8), (4, 300, 9), (5, 400, 10)]
+    assert list(movies._placed([100, 200], runs, [], 4, 3)) == [(0, 100, 4), (1, 104, 4), (2, 200, 4)]
+    assert list(movies._placed([100, 200, 300], [{"first": 2, "per": 1}, {"first": 1, "per": 2}], [1] * 9, 0, 9)) == [(0, 100, 1), (1, 101, 1), (2, 200, 1), (3, 201, 1), (4, 300, 1), (5, 301, 1)]
+    assert list(movies._placed(None, None, None, None, None)) == [] == list(movies._placed([1], [{"first": 2, "per": 1}], [1], 0, 1))
+    for query in (containers.file_units, containers.file_timing):  # the one that builds the streams
+        assert query(spark, SF)._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
+        assert query(spark, SF)._jdf.queryExecution().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_the_first_usable_track(spark):
+    a, b = (boxes_write.movie([4], 36, configs.built(2, 48000, n), n, 48000, 1024, 0, 1024) for n in (1, 2))
+    trak = lambda m: m[m.index(b"trak") - 4 :]
+    both = boxes_write.box(b"moov", a[8 : a.index(b"trak") - 4], trak(a).replace(b"soun", b"vide"), trak(a), trak(b))
+    files = spark.createDataFrame([("x", bytearray(both)), ("y", bytearray(b)), ("z", None)], "path string, content binary")
+    assert [(r.path, r.track, r.usable) for r in movies.tracks(files).orderBy("path", "track").collect()] == [("x", 0, False), ("x", 1, True), ("x", 2, False), ("y", 0, True)]
+    assert [(r.path, r.track) for r in movies.first_usable(movies.tracks(files)).orderBy("path").collect()] == [("x", 1), ("y", 0)]
