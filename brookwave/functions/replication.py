@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate, pairwise
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,12 +40,20 @@ def first_band(rate: Column, start: Column) -> Column:
     return _by_rate(rate, 3000.0, 4000.0, 5000.0) + F.get(F.element_at(known, rate.cast("int")), start.cast("int"))
 
 
+def taken_of(least: int) -> list[int]:
+    """Sums of the first 0, 1, ... smallest steps from a lowest border to the last band."""
+    borders = [math.floor(least * math.pow(BANDS / least, p / STEPS) + 0.5) for p in range(STEPS + 1)]
+    return [0, *accumulate(sorted(b - a for a, b in pairwise(borders)))]
+
+
 def end_band(rate: Column, stop: Column, first: Column) -> Column:
     """The high border: the smallest of the geometric steps first, or a multiple of the low border; at most 64."""
-    least = _by_rate(rate, 6000.0, 8000.0, 10000.0)
+    least, n = _by_rate(rate, 6000.0, 8000.0, 10000.0), F.least(stop, F.lit(STEPS)).cast("int")
     border = lambda p: nearest(least * F.pow(BANDS / least, p / STEPS))
     steps = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda p: border(p + 1) - border(p)))
-    taken = F.aggregate(F.slice(steps, F.lit(1), F.least(stop, F.lit(STEPS)).cast("int")), F.lit(0), lambda s, x: s + x)
+    summed = F.aggregate(F.slice(steps, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    known = F.get(F.array(*(F.lit(x) for m in range(1, BANDS + 1) for x in taken_of(m))), (STEPS + 1) * (least - 1) + n)
+    taken = F.when(least.between(1, BANDS) & (n >= 0), known).otherwise(summed)  # lower rates than 12 kHz begin above the last band
     return F.when((stop < 0) | (stop > 15), None).otherwise(F.least(F.lit(BANDS), F.when(stop == 14, 2 * first).when(stop == 15, 3 * first).otherwise(least + taken))).cast("int")
 
 
