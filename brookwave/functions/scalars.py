@@ -1,7 +1,9 @@
-"""Scalar functions as columns: all of them stay inside generated code."""
+"""Scalar functions as columns: all of them stay inside generated code, but for what ``let`` binds, which is interpreted in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def word(content: Column, at: int | Column, size: int) -> Column:
     return F.conv(F.hex(F.substring(content, at + 1, size) if isinstance(at, int) else content.substr(at + 1, F.lit(size))), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bits(value: Column, shift: int, n: int) -> Column:
     """n bits of a number, above ``shift`` lower ones."""
     return F.shiftright(value, shift).bitwiseAND(F.lit((1 << n) - 1))
@@ -143,9 +150,9 @@ def hex_field(text: Column, width: int) -> Column:
 
 def gapless_fields(text: Column) -> Column:
     """priming, remainder and source of a gapless comment: a zero, then fields of 8, 8 and 16 digits."""
-    f = F.split(F.trim(text), r"\s+")
-    p, r, s = hex_field(F.get(f, F.lit(1)), 8), hex_field(F.get(f, F.lit(2)), 8), hex_field(F.get(f, F.lit(3)), 16)
-    return F.when((hex_field(F.get(f, F.lit(0)), 8) == 0) & p.isNotNull() & r.isNotNull() & s.isNotNull(), F.struct(p.alias("priming"), r.alias("remainder"), s.alias("source")))
+    names = (("zero", 8), ("priming", 8), ("remainder", 8), ("source", 16))
+    found = let(F.split(F.trim(text), r"\s+"), lambda f: F.struct(*(hex_field(F.get(f, F.lit(k)), n).alias(x) for k, (x, n) in enumerate(names))))
+    return let(found, lambda x: F.when((x["zero"] == 0) & x["priming"].isNotNull() & x["remainder"].isNotNull() & x["source"].isNotNull(), F.struct(*(x[n].alias(n) for n, _ in names[1:]))))
 
 
 def gapless_comment(priming: Column, remainder: Column, source: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brookwave.functions.scalars import gapless_comment, gapless_fields, syncsafe, unsyncsafe, word
+from brookwave.functions.scalars import gapless_comment, gapless_fields, let, syncsafe, unsyncsafe, word
 
 #: Identifier, major versions and the comment's name; samples of delay of the doubled rate.
 IDENTIFIER, MAJORS, NAME = "494433", (3, 4), "iTunSMPB"
@@ -23,26 +23,31 @@ def tag_state(content: Column) -> Column:
     """(kind, size): absent, need or ready; a tag's size with its header and footer."""
     head = F.hex(F.substring(content, 1, 3))
     begun = (F.length(content) > 0) & F.lit(IDENTIFIER).startswith(head)
-    major, flags, size = word(content, 3, 1), word(content, 5, 1), unsyncsafe(word(content, 6, 4))
-    known = major.isin(*MAJORS) & size.isNotNull()
-    total = 10 + size + F.when((major == 4) & (flags.bitwiseAND(F.lit(16)) != 0), 10).otherwise(0)
-    kind = (
-        F.when(~begun, "absent").when(F.length(content) < 10, "need").when(F.coalesce(known, F.lit(False)) == F.lit(False), "absent").when(F.length(content) < total, "need").otherwise("ready")
-    )
-    return F.struct(kind.alias("kind"), F.when(kind == "ready", total.cast("long")).alias("size"))
-
-
-def peeled(content: Column) -> Column:
-    """The bytes behind a whole leading tag, or all of them."""
-    size = tag_state(content)["size"]
+    fields = F.struct(word(content, 3, 1).alias("major"), word(content, 5, 1).alias("flags"), let(word(content, 6, 4), unsyncsafe).alias("size"))
+
+    def of(x: Column) -> Column:
+        known = x["major"].isin(*MAJORS) & x["size"].isNotNull()
+        total = 10 + x["size"] + F.when((x["major"] == 4) & (x["flags"].bitwiseAND(F.lit(16)) != 0), 10).otherwise(0)
+        kind = (
+            F.when(~begun, "absent").when(F.length(content) < 10, "need").when(F.coalesce(known, F.lit(False)) == F.lit(False), "absent").when(F.length(content) < total, "need").otherwise("ready")
+        )
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "ready", total.cast("long")).alias("size")))
+
+    return let(fields, of)
+
+
+def peeled(content: Column, state: Column | None = None) -> Column:
+    """The bytes behind a whole leading tag, or all of them. ``state``: the content's tag_state, if it is known."""
+    size = (tag_state(content) if state is None else state)["size"]
     return F.when(size.isNotNull(), F.substring(content, (size + 1).cast("int"), F.greatest(F.length(content) - size.cast("int"), F.lit(0)))).otherwise(content)
 
 
-def first_comment(content: Column) -> Column:
-    """The gapless fields of a tag that its first text frame holds, as this module writes it."""
+def first_comment(content: Column, state: Column | None = None) -> Column:
+    """The gapless fields of a tag that its first text frame holds, as this module writes it. ``state`` as for peeled."""
+    state = tag_state(content) if state is None else state
     named = F.substring(content, 22, 8) == F.encode(F.lit(NAME), "utf-8")
     text = F.decode(F.substring(content, 31, 200), "ISO-8859-1")  # what follows the tag can be any bytes
-    return F.when((tag_state(content)["kind"] == "ready") & (F.substring(content, 11, 4) == F.encode(F.lit("TXXX"), "utf-8")) & named, gapless_fields(F.regexp_extract(text, "^ [0-9A-Fa-f ]{0,107}", 0)))
+    return F.when((state["kind"] == "ready") & (F.substring(content, 11, 4) == F.encode(F.lit("TXXX"), "utf-8")) & named, gapless_fields(F.regexp_extract(text, "^ [0-9A-Fa-f ]{0,107}", 0)))
 
 
 def of_several(count: Column, first: Column) -> Column:

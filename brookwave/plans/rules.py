@@ -122,8 +122,9 @@ def tags_read(spark, d):
     tag = T.tag_bytes(1024 + F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey") * 1000 + line)
     whole = F.concat(tag, F.unhex(F.lit("FFF15080")))
     rows = read(spark, d, "lineitem").select(*LINE, F.when(line == 2, F.substring(whole, 1, 100)).when(line == 3, F.concat(F.unhex(F.lit("494432")), F.substring(whole, 4, 1000))).otherwise(whole).alias("content"))
-    state, comment = T.tag_state(F.col("content")), T.first_comment(F.col("content"))
-    return rows.select(*LINE, state["kind"].alias("kind"), state["size"].alias("size"), comment["priming"].alias("priming"), comment["remainder"].alias("remainder"), comment["source"].alias("source"), F.length(T.peeled(F.col("content"))).cast("long").alias("rest"))
+    content, state = F.col("content"), F.col("state")
+    known = rows.select(*LINE, "content", T.tag_state(content).alias("state")).select(*LINE, "content", "state", T.first_comment(content, state).alias("comment"))
+    return known.select(*LINE, "state.kind", "state.size", "comment.priming", "comment.remainder", "comment.source", F.length(T.peeled(content, state)).cast("long").alias("rest"))
 
 
 @query("""SELECT o_custkey, CASE count(*) WHEN 0 THEN 'missing' WHEN 1 THEN 'single' ELSE 'ambiguous' END AS kind, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS value FROM orders GROUP BY o_custkey""")
