@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brookwave.functions import tags as T
 from brookwave.plans.containers import UNITS, adts_files, in_arrow, m4a_files, units
-from brookwave.plans.shared import read
+from brookwave.plans.shared import read, spread
 from brookwave.sources import boxes_write, configs, fragments, loas, probes
 
 QUERIES, SQL = {}, {}
@@ -106,5 +106,5 @@ def probe_packets(spark, d):
         other = (0xFFF1 << 40 | 3 << 34 | 2 << 30 | 16 << 13 | 0x7FF << 2).to_bytes(7, "big") + bytes(9)
         return str(order), (packet, packet, packet[:-1], b"no audio at all", other)[order % 5]
 
-    made = read(spark, d, "orders").select("o_orderkey").mapInArrow(in_arrow(make, "path string, content binary"), "path string, content binary")
+    made = spread(read(spark, d, "orders").select("o_orderkey")).mapInArrow(in_arrow(make, "path string, content binary"), "path string, content binary")
     return _probed(made)

@@ -122,3 +122,28 @@ def test_pushed_streams(spark, tmp_path):
     q.stop()
     got = sorted(tuple(r)[1:] for r in spark.table("pushed_fragments").collect())
     assert got == sorted(fragments.samples_of(WHOLE))
+
+
+def test_tags_are_read_once(spark):
+    from brookwave.plans import fragmented, rules
+    from tests.comparing import SF
+
+    plan = lambda q: q(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(rules.tags_read).count("split(") == 1
+    assert fragmented.probe_packets(spark, SF).rdd.getNumPartitions() > 1  # a small file is one task
+
+
+def test_steps_by_table_equal_the_formula(spark):
+    from pyspark.sql import functions as F
+
+    from brookwave.functions import replication as R
+
+    rows = spark.range(1, R.BANDS + 1).select(F.col("id").alias("least"), F.explode(F.sequence(F.lit(0), F.lit(R.STEPS - 1))).alias("p"))
+    border = lambda p: R.nearest(F.col("least") * F.pow(R.BANDS / F.col("least"), p / R.STEPS))
+    steps = {}
+    for r in rows.select("least", (border(F.col("p") + 1) - border(F.col("p"))).alias("step")).collect():
+        steps.setdefault(r.least, []).append(r.step)
+    assert all(R.taken_of(m) == [sum(sorted(x)[:k]) for k in range(R.STEPS + 1)] for m, x in steps.items()) and len(steps) == R.BANDS
+    end = spark.createDataFrame([(r, k) for r in (8000, 16000, 44100, 96000) for k in (-1, 0, 5, 13, 14, 15, 16)], "r int, k int")
+    got = {(x.r, x.k): x.e for x in end.select("r", "k", R.end_band(F.col("r"), F.col("k"), F.lit(10)).alias("e")).collect()}
+    assert [got[16000, k] for k in (-1, 0, 14, 15, 16)] == [None, 48, 20, 30, None] and got[8000, 5] == 64
