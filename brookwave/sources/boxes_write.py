@@ -10,12 +10,13 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brookwave.sources.configs import built, parsed
-from brookwave.sources.media import MOST_HELD, MOST_ROWS
+from brookwave.sources.media import MOST_HELD, MOST_ROWS, flat
 
 #: Limits of 32-bit offsets and of the number of units of a file.
 MOST_BYTES, MOST_UNITS = (1 << 32) - 1, 1 << 20
@@ -86,6 +87,10 @@ def _index(n: int, first: int, config: bytes, channels: int, rate: int, frame: i
     return whole[:rates], whole[rates + 8 : table_at], whole[table_at + 4 * n :]
 
 
+#: Brand of a file of boxes.
+BRAND = box(b"ftyp", b"M4A \0\0\2\0M4A mp42isom")
+
+
 def m4a(units: Iterable[bytes], config: bytes, priming: int = 0, valid: int | None = None) -> bytes:
     """Brand, then media, then the index. The clock is that of the output: twice the core's with an extension."""
     units = list(units)
@@ -96,7 +101,7 @@ def m4a(units: Iterable[bytes], config: bytes, priming: int = 0, valid: int | No
         raise ValueError("too many units")
     rate = facts["output_rate"]
     frame = facts["frame"] * rate // facts["rate"]
-    brand = box(b"ftyp", b"M4A \0\0\2\0M4A mp42isom")
+    brand = BRAND
     data = b"".join(units)
     if len(brand) + 8 + len(data) > MOST_BYTES:
         raise ValueError("file too long")
@@ -104,35 +109,92 @@ def m4a(units: Iterable[bytes], config: bytes, priming: int = 0, valid: int | No
     return brand + box(b"mdat", data) + movie([len(u) for u in units], len(brand) + 8, config, facts["channels"] * (2 if facts["ps"] and facts["channels"] == 1 else 1), rate, frame, priming, valid)
 
 
+def payload_lists(units: DataFrame) -> DataFrame:
+    """(stream_id, payloads): each stream's payloads in order of au_idx.
+
+    Units that lie sorted by their stream, as behind a window, are put together as they come and not sorted twice more.
+    """
+    units.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+    lists = units.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("au_idx", "payload"))).alias("units"))
+    return lists.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("units.payload").alias("payloads"))
+
+
+def bounds_of(lists: pa.Array) -> np.ndarray:
+    """Where each list's values begin among all values, and where the last ends."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _in_batches(made: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of many small files, or of a large one: rows whose second value is the file."""
+    rows, held = [], 0
+    for row in made:
+        rows.append(row)
+        held += len(row[1] or b"")
+        if len(rows) == MOST_ROWS or held > MOST_HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def files_of(units: DataFrame, build) -> DataFrame:
+    """One row (path, content) per stream, built of the list of its payloads in order."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            data, ends = flat(b.column(1).flatten())
+            ends, bounds = ends.tolist(), bounds_of(b.column(1)).tolist()
+            for k, key in enumerate(b.column(0).to_pylist()):
+                yield key, build([bytes(data[ends[i] : ends[i + 1]]) for i in range(bounds[k], bounds[k + 1])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(made(batches), ["path", "content"], [pa.string(), pa.binary()])
+
+    return payload_lists(units).mapInArrow(run, "path string, content binary")
+
+
+def _m4a_each(keys: list, lists: pa.Array, config: bytes, priming: int) -> Iterator[tuple]:
+    """(key, content, error) of each list of units: m4a(), with the numbers of all lists of a batch computed together."""
+    facts = parsed(config)
+    data, ends = flat(lists.flatten())
+    bounds, sizes = bounds_of(lists), np.diff(ends)
+    starts, n = ends[bounds], np.diff(bounds)
+    total = np.diff(starts)
+    # what is beyond a limit, at fault or too long to remember goes the plain way, which says what is wrong
+    plain, peak, mean = np.ones(len(n), bool), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    if facts is not None and not facts["error"]:
+        rate = facts["output_rate"]
+        frame = facts["frame"] * rate // facts["rate"]
+        channels = facts["channels"] * (2 if facts["ps"] and facts["channels"] == 1 else 1)
+        some = n > 0
+        if some.any():
+            peak[some] = np.maximum.reduceat(sizes, bounds[:-1][some]) * 8 * rate // frame
+            mean[some] = total[some] * 8 * rate // (n[some] * frame)
+        plain = (n == 0) | (n > FEW_UNITS) | (len(BRAND) + 8 + total > MOST_BYTES) | (priming < 0) | (priming > n * frame) | (peak > 0xFFFFFFFF)
+    tables, rates, media = sizes.astype(">u4").tobytes(), np.stack([peak, mean], 1).astype(">u4").tobytes(), (8 + total).astype(">u4").tobytes()
+    bounds, starts, n = bounds.tolist(), starts.tolist(), n.tolist()
+    ends = ends.tolist() if plain.any() else None
+    for k, (key, one) in enumerate(zip(keys, plain.tolist(), strict=True)):
+        a, b = bounds[k], bounds[k + 1]
+        if one:
+            try:
+                yield key, m4a((bytes(data[ends[i] : ends[i + 1]]) for i in range(a, b)), config, priming), None
+            except ValueError as e:
+                yield key, None, str(e)
+            continue
+        head, middle, tail = _index(n[k], len(BRAND) + 8, config, channels, rate, frame, priming, n[k] * frame - priming)
+        yield key, b"".join((BRAND, media[4 * k : 4 * k + 4], b"mdat", data[starts[k] : starts[k + 1]], head, rates[8 * k : 8 * k + 8], middle, tables[4 * a : 4 * b], tail)), None
+
+
 def m4a_files(units: DataFrame, core_rate: int, channels: int, object_type: int = 2, sbr: bool = False, priming: int = 0) -> DataFrame:
     """units: stream_id, au_idx, payload. One row (stream_id, content, error) per stream."""
     config = built(object_type, core_rate, channels, sbr)
 
-    def batch(keys: list, contents: list, errors: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["stream_id", "content", "error"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = (row for b in batches for row in _m4a_each(b.column(0).to_pylist(), b.column(1), config, priming))
+        return _in_batches(made, ["stream_id", "content", "error"], [pa.string(), pa.binary(), pa.string()])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, contents, errors, held = [], [], [], 0  # of many small files, or of a large one
-        for b in batches:
-            for key, payloads in zip(b.column(0), b.column(1), strict=True):
-                content, error = None, None
-                try:
-                    content = m4a((x or b"" for x in payloads.as_py()), config, priming)
-                except ValueError as e:
-                    error = str(e)
-                keys.append(key.as_py())
-                contents.append(content)
-                errors.append(error)
-                held += len(content or b"")
-                if len(keys) == MOST_ROWS or held > MOST_HELD:
-                    yield batch(keys, contents, errors)
-                    keys, contents, errors, held = [], [], [], 0
-        if keys:
-            yield batch(keys, contents, errors)
-
-    # grouped by the key as it comes: its string would be one more shuffle
-    lists = units.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("units"))
-    return lists.select(F.col("stream_id").cast("string").alias("stream_id"), F.transform("units", lambda x: x["payload"]).alias("payloads")).mapInArrow(make, "stream_id string, content binary, error string")
+    return payload_lists(units).mapInArrow(run, "stream_id string, content binary, error string")
 
 
 def framed(header: Column, payload: Column) -> Column:
@@ -142,5 +204,6 @@ def framed(header: Column, payload: Column) -> Column:
 
 def framed_streams(units: DataFrame, header: Column, payload: Column) -> DataFrame:
     """One row (stream_id, content) per stream: its framed units in order of au_idx."""
-    parts = F.array_sort(F.collect_list(F.struct("au_idx", framed(header, payload).alias("b"))))
+    units.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")  # as for payload_lists
+    parts = F.sort_array(F.collect_list(F.struct("au_idx", framed(header, payload).alias("b"))))
     return units.groupBy("stream_id").agg(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["b"])).alias("content"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +105,23 @@ def boxes_of(data: bytes, most_depth: int = 16, deepest: int | None = None) -> I
             todo.append((at + head, at + size, depth + 1, at))
 
 
+def flat(values: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(bytes of a binary column, where each value begins and the last ends); a null has no bytes."""
+    values = values.fill_null(b"") if values.null_count else values
+    wide = pa.types.is_large_binary(values.type)
+    _, ends, data = values.buffers()
+    if not len(values):
+        return memoryview(b""), np.zeros(1, np.int64)
+    return memoryview(data or b""), np.frombuffer(ends, np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+
+
+def contents(values: pa.Array) -> Iterator[bytes]:
+    """Values of a binary column one by one, a null as none."""
+    data, ends = flat(values)
+    ends = ends.tolist()
+    return (bytes(data[a:b]) for a, b in pairwise(ends))
+
+
 def _exploded(rows_of, schema: list[tuple[str, pa.DataType]]):
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[x for x, _ in schema])
@@ -110,8 +129,7 @@ def _exploded(rows_of, schema: list[tuple[str, pa.DataType]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0  # of many small files, or of a piece of a large one
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1), strict=True):
-                path, content = path.as_py(), content.as_py() or b""
+            for path, content in zip(b.column(0).to_pylist(), contents(b.column(1)), strict=True):
                 for r in rows_of(content):
                     rows.append((path, *r))
                     if len(rows) == MOST_ROWS:

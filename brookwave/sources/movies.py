@@ -25,6 +25,8 @@ TRACK = (
 NAMES = [x.split(" ")[0] for x in TRACK.split(", ")]
 UNITS = "path string, track int, au_idx long, offset long, size long"
 MOST_DESCRIPTORS = 16
+#: Bytes of an index up to which what it says is remembered, and layouts of indices of one length.
+LONGEST_HELD, MOST_FORMS = 1 << 14, 4
 #: Boxes of a track that are read.
 READ = {"hdlr", "mdhd", "elst", "stts", "stsc", "stco", "co64", "stsz", "stsd"}
 
@@ -43,16 +45,20 @@ def varint_at(data: bytes, at: int) -> tuple[int, int]:
 
 def audio_config(data: bytes) -> bytes | None:
     """The configuration inside a descriptor tree (3 holds 4 holds 5)."""
+    return next((data[at : at + size] for tag, at, size in _descriptors(data) if tag == 5), None)
+
+
+def _descriptors(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(tag, start, size) of each descriptor on the way to a configuration."""
     at = 0
     for _ in range(MOST_DESCRIPTORS):
         if at >= len(data):
-            return None
+            return
         tag = data[at]
         size, at = varint_at(data, at + 1)
         if at + size > len(data):
             raise ValueError("descriptor")
-        if tag == 5:
-            return data[at : at + size]
+        yield tag, at, size
         if tag == 3:
             flags = data[at + 2]
             at += 3 + 2 * bool(flags & 0x80) + 2 * bool(flags & 0x20)
@@ -62,7 +68,6 @@ def audio_config(data: bytes) -> bytes | None:
             at += 13
         else:
             at += size
-    return None
 
 
 def _table(body: bytes, width: int, head: int = 4) -> list[tuple]:
@@ -129,6 +134,54 @@ def tracks_of(path: str, data: bytes) -> Iterator[dict]:
         yield t
 
 
+class Remembered:
+    """What was said of bytes, for others that differ from them only in places that it doesn't depend on."""
+
+    def __init__(self, most: int = 1024) -> None:
+        self.most, self.n, self.forms = most, 0, {}
+
+    def of(self, data: bytes):
+        for form, said in self.forms.get(len(data), {}).items():
+            if (found := said.get(form.unpack(data))) is not None:
+                return found
+        return None
+
+    def add(self, data: bytes, places: list[tuple[int, int]], said) -> None:
+        """``places``: (start, length) of what ``said`` doesn't depend on, in order."""
+        if len(data) > LONGEST_HELD:
+            return
+        if self.n >= self.most:
+            self.n, self.forms = 0, {}
+        at, layout = 0, ">"
+        for start, length in places:
+            layout, at = f"{layout}{start - at}s{length}x", start + length
+        forms = self.forms.setdefault(len(data), {})
+        form = next((f for f in forms if f.format == f"{layout}{len(data) - at}s"), None) or struct.Struct(f"{layout}{len(data) - at}s")
+        if form in forms or len(forms) < MOST_FORMS:
+            forms.setdefault(form, {})[form.unpack(data)] = said
+            self.n += 1
+
+
+def unread(index: bytes) -> list[tuple[int, int]]:
+    """(start, length) of what no fact of an index but its tables of sizes depends on: entries of these, and rates beside configurations."""
+    out = []
+    for at, size, head, kind, _, _, fault in boxes_of(index):
+        body, end = at + head, at + size
+        if fault:
+            continue
+        if kind == "stsz" and end - body >= 12:
+            of_all, n = struct.unpack_from(">II", index, body + 4)
+            if n and not of_all and body + 12 + 4 * n <= end:
+                out.append((body + 12, 4 * n))
+        elif kind == "stsd" and (esds := index.find(b"esds", body + 8, end)) > 0:
+            tree = index[esds + 8 : min(end, esds - 4 + struct.unpack_from(">I", index, esds - 4)[0])]
+            try:
+                out += [(esds + 8 + x + 5, 8) for tag, x, _ in _descriptors(tree) if tag == 4 and x + 13 <= len(tree)][:1]
+            except (ValueError, IndexError):
+                pass  # nothing of it is left out
+    return sorted(out)
+
+
 def tracks(files: DataFrame) -> DataFrame:
     """One row per track of (path, content) rows; ``usable``: the first sound track of its file that has a configuration and no fault."""
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}

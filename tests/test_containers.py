@@ -149,3 +149,18 @@ def test_the_first_usable_track(spark):
     files = spark.createDataFrame([("x", bytearray(both)), ("y", bytearray(b)), ("z", None)], "path string, content binary")
     assert [(r.path, r.track, r.usable) for r in movies.tracks(files).orderBy("path", "track").collect()] == [("x", 0, False), ("x", 1, True), ("x", 2, False), ("y", 0, True)]
     assert [(r.path, r.track) for r in movies.first_usable(movies.tracks(files)).orderBy("path").collect()] == [("x", 1), ("y", 0)]
+
+
+def test_files_made_together_are_those_made_alone():
+    import pyarrow as pa
+
+    config, r = configs.built(2, 24000, 2), random.Random(3)
+    lists = [[r.randbytes(r.randint(0, 60)) for _ in range(r.randint(1, 7))] for _ in range(50)] + [[], [b"x"], [b"", b""], [None, b"y"], [b"z"] * (boxes_write.FEW_UNITS + 1)]
+    for priming in (0, 1024, 2000):
+        column = pa.array([[b"cut"]] * 3 + lists, pa.list_(pa.binary()))[3:]
+        got = list(boxes_write._m4a_each(list(range(len(lists))), column, config, priming))
+        for (_, content, error), parts in zip(got, lists, strict=True):
+            try:
+                assert (content, error) == (boxes_write.m4a([x or b"" for x in parts], config, priming), None)
+            except ValueError as e:
+                assert (content, error) == (None, str(e))

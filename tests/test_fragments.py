@@ -147,3 +147,18 @@ def test_steps_by_table_equal_the_formula(spark):
     end = spark.createDataFrame([(r, k) for r in (8000, 16000, 44100, 96000) for k in (-1, 0, 5, 13, 14, 15, 16)], "r int, k int")
     got = {(x.r, x.k): x.e for x in end.select("r", "k", R.end_band(F.col("r"), F.col("k"), F.lit(10)).alias("e")).collect()}
     assert [got[16000, k] for k in (-1, 0, 14, 15, 16)] == [None, 48, 20, 30, None] and got[8000, 5] == 64
+
+
+def test_probes_of_alike_indices_are_remembered(monkeypatch):
+    r = random.Random(4)
+    files = [boxes_write.m4a([r.randbytes(r.randint(1, 60)) for _ in range(n)], CONFIG, 1024) for n in (1, 2, 3) for _ in range(20)] + [WHOLE, fragmented(PARTS[:4]), INIT]
+    odd = [f[:k] + bytes([f[k] ^ x]) + f[k + 1 :] for f in (files[0], files[30], WHOLE) for k in range(len(f)) for x in (1, 0x80)] + [f[:-k] for f in (files[0], WHOLE) for k in range(1, len(f), 7)]
+    odd += [files[0] + files[1], files[0] + WHOLE, WHOLE + files[0], files[0] + boxes_write.box(b"moof"), boxes_write.box(b"moof") + files[0]]
+    got = [next(probes.probed(f)) for f in files + odd + files]
+    monkeypatch.setattr(probes, "_movie", probes._whole_movie)
+    assert got == [next(probes.probed(f)) for f in files + odd + files]
+    monkeypatch.undo()
+    calls = []
+    monkeypatch.setattr(probes, "_SEEN", type(probes._SEEN)())
+    monkeypatch.setattr(probes, "_whole_movie", lambda d, f=probes._whole_movie: calls.append(1) or f(d))
+    assert [next(probes.probed(f)) for f in files] == got[: len(files)] and len(calls) == 4  # one a number of units, one of fragments
