@@ -28,17 +28,17 @@ def query(sql: str | None = None):
 
 def fragmented(parts: list[bytes], per: int = 3) -> bytes:
     """Fragments of a few units: even ones name their duration, 512, odd ones their base and leave the duration to the index."""
-    out, time = INIT, 0
+    out, at, time = [INIT], len(INIT), 0
     for n in range(0, len(parts), per):
         some, even = parts[n : n + per], n // per % 2 == 0
-        out += fragments.fragment_bytes(some, n // per + 1, len(out), time, 512 if even else None, not even)
+        out.append(fragments.fragment_bytes(some, n // per + 1, at, time, 512 if even else None, not even))
+        at += len(out[-1])
         time += len(some) * (512 if even else 1024)
-    return out
+    return b"".join(out)
 
 
 def fragmented_files(spark, d):
-    lists = units(spark, d).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("u")).select("stream_id", F.transform("u", lambda x: x["payload"]).alias("u"))
-    return lists.mapInArrow(in_arrow(lambda s, parts: (str(s), fragmented([bytes(x) for x in parts])), "path string, content binary"), "path string, content binary")
+    return boxes_write.files_of(units(spark, d), fragmented)
 
 
 @query(f"""WITH u AS ({UNITS}), x AS (SELECT *, au // 3 AS f, count(*) OVER (PARTITION BY stream) AS n, coalesce(sum(size) OVER w, 0) AS ahead, coalesce(sum(CASE WHEN au // 3 % 2 = 0 THEN 512 ELSE 1024 END) OVER w, 0) AS dts

@@ -8,6 +8,7 @@ import pytest
 
 from brookwave.plans.fragmented import CONFIG, INIT, fragmented
 from brookwave.sources import boxes_write, configs, fragments, loas, probes
+from brookwave.sources.media import boxes_of
 from brookwave.streaming.push import Fragments, Packets, push_fragments, push_packets
 
 PARTS = [bytes([k]) * (k % 7 + 1) for k in range(11)]
@@ -162,3 +163,60 @@ def test_probes_of_alike_indices_are_remembered(monkeypatch):
     monkeypatch.setattr(probes, "_SEEN", type(probes._SEEN)())
     monkeypatch.setattr(probes, "_whole_movie", lambda d, f=probes._whole_movie: calls.append(1) or f(d))
     assert [next(probes.probed(f)) for f in files] == got[: len(files)] and len(calls) == 4  # one a number of units, one of fragments
+
+
+def test_layouts_of_fragments_are_remembered(monkeypatch):
+    """Against a plain walk over all boxes, for whole and faulty files."""
+
+    def plainly(data, top, index):
+        held = None
+        for at, size, head, kind, depth, _, fault in fragments.boxes_of(data):
+            if fault:
+                raise fragments.Fault(fault)
+            if depth == 0:
+                if held:
+                    yield held
+                held = (at, at + size, []) if kind == "moof" else None
+            elif held:
+                held[2].append((kind, data[at + head : at + size]))
+        if held:
+            yield held
+
+    files = [WHOLE, fragmented(PARTS, 2), WHOLE + boxes_write.box(b"udta", b"\0\0\0\2free"), WHOLE + INIT, fragmented([])]
+    files += [WHOLE[:k] + bytes([WHOLE[k] ^ x]) + WHOLE[k + 1 :] for k in range(len(INIT) - 60, len(WHOLE)) for x in (1, 0x40)] + [WHOLE[:k] for k in range(len(INIT), len(WHOLE), 5)]
+    monkeypatch.setattr(fragments, "_LAYOUTS", fragments.Layouts())
+    got = [list(fragments.samples_of(f)) for f in files + files]
+    monkeypatch.setattr(fragments, "_fragments", plainly)
+    assert got == [list(fragments.samples_of(f)) for f in files + files]
+    walks, known = [], fragments.Layouts()
+    monkeypatch.setattr(fragments, "boxes_of", lambda d, *a, f=fragments.boxes_of, **k: walks.append(1) or f(d, *a, **k))
+    data = fragments.fragment_bytes([b"a", b"bc"], 1, 0, 0, 512, True), fragments.fragment_bytes([b"xyz", b"d"], 9, 77, 512, 512, True)
+    for d in data:
+        n = struct.unpack_from(">I", d)[0]
+        assert [k for k, _ in known.inside(d, 0, n)] == ["mfhd", "traf", "tfhd", "tfdt", "trun"] and known.inside(d, 0, n)[0][1] == d[16:24]
+    assert len(walks) == 1
+
+
+def test_runs_end_as_they_say():
+    head = lambda flags, n: struct.pack(">II", flags, n)
+    assert list(fragments.run(head(0, 2))[1]) == [(None, None)] * 2
+    assert list(fragments.run(head(fragments.SIZES | fragments.FLAGS, 2) + struct.pack(">4I", 5, 0, 6, 0))[1]) == [(None, 5), (None, 6)]
+    short = fragments.run(head(fragments.DURATIONS | fragments.SIZES, 2) + struct.pack(">3I", 1, 2, 3))[1]
+    assert next(short) == (1, 2)
+    with pytest.raises(struct.error):
+        next(short)
+    with pytest.raises(fragments.Fault):
+        list(fragments.run(head(fragments.COMPOSITION, 1) + struct.pack(">I", 1))[1])
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 1500])
+@pytest.mark.parametrize("duration", [None, 512])
+def test_fragments_by_layout(n, duration):
+    for own in (False, True):
+        units = [bytes(k % 7) for k in range(n)]
+        data = fragments.fragment_bytes(units, 4, 1000, 77, duration, own)
+        parts = {k: data[a + h : a + s] for a, s, h, k, *_ in boxes_of(data)}
+        assert parts["mfhd"][4:] == struct.pack(">I", 4) and fragments.decode_time(parts["tfdt"]) == 77 and parts["mdat"] == b"".join(units)
+        assert fragments.fragment_header(parts["tfhd"]) == {"track": 1, "base": 1000 if own else None, "description": None, "duration": duration, "size": None, "empty": False, "from_moof": not own}
+        offset, samples = fragments.run(parts["trun"])
+        assert [s for _, s in samples] == [*map(len, units)] and offset == len(data) - len(parts["mdat"])
