@@ -175,12 +175,12 @@ def test_layouts_of_fragments_are_remembered(monkeypatch):
                 raise fragments.Fault(fault)
             if depth == 0:
                 if held:
-                    yield held
+                    yield *held, None
                 held = (at, at + size, []) if kind == "moof" else None
             elif held:
                 held[2].append((kind, data[at + head : at + size]))
         if held:
-            yield held
+            yield *held, None
 
     files = [WHOLE, fragmented(PARTS, 2), WHOLE + boxes_write.box(b"udta", b"\0\0\0\2free"), WHOLE + INIT, fragmented([])]
     files += [WHOLE[:k] + bytes([WHOLE[k] ^ x]) + WHOLE[k + 1 :] for k in range(len(INIT) - 60, len(WHOLE)) for x in (1, 0x40)] + [WHOLE[:k] for k in range(len(INIT), len(WHOLE), 5)]
@@ -220,3 +220,10 @@ def test_fragments_by_layout(n, duration):
         assert fragments.fragment_header(parts["tfhd"]) == {"track": 1, "base": 1000 if own else None, "description": None, "duration": duration, "size": None, "empty": False, "from_moof": not own}
         offset, samples = fragments.run(parts["trun"])
         assert [s for _, s in samples] == [*map(len, units)] and offset == len(data) - len(parts["mdat"])
+
+
+def test_fragments_of_a_known_shape_are_not_parsed_again(monkeypatch):
+    monkeypatch.setattr(fragments, "_LAYOUTS", fragments.Layouts())
+    want = list(fragments.samples_of(WHOLE))
+    monkeypatch.setattr(fragments, "run", None)  # the plain way
+    assert list(fragments.samples_of(WHOLE)) == want and want[-1][6] is None
