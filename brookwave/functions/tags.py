@@ -14,9 +14,10 @@ IDENTIFIER, MAJORS, NAME = "494433", (3, 4), "iTunSMPB"
 def tag_bytes(priming: Column, remainder: Column, source: Column) -> Column:
     """A tag of version 4 with one text frame that holds the comment."""
     body = F.concat(F.unhex(F.lit("03")), F.encode(F.lit(NAME), "utf-8"), F.unhex(F.lit("00")), F.encode(gapless_comment(priming, remainder, source), "utf-8"))
-    number = lambda n: F.unhex(F.lpad(F.hex(syncsafe(n)), 8, "0"))
-    frame = F.concat(F.encode(F.lit("TXXX"), "utf-8"), number(F.length(body)), F.unhex(F.lit("0000")), body)
-    return F.concat(F.unhex(F.lit("494433040000")), number(F.length(frame)), frame)
+    number = lambda n: F.unhex(F.lpad(F.hex(let(n, syncsafe)), 8, "0"))
+    frame = lambda b: F.concat(F.encode(F.lit("TXXX"), "utf-8"), number(F.length(b)), F.unhex(F.lit("0000")), b)
+    whole = lambda f: F.concat(F.unhex(F.lit("494433040000")), number(F.length(f)), f)
+    return let(let(body, frame), whole)
 
 
 def tag_state(content: Column) -> Column:

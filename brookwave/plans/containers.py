@@ -56,7 +56,7 @@ UNITS = f"SELECT l_orderkey AS stream, row_number() OVER (PARTITION BY l_orderke
 def adts_files(spark, d) -> DataFrame:
     rows = units(spark, d)
     header = S.adts_bytes(F.lit(1), F.col("fs_index"), F.col("ch_cfg"), F.length("payload") + 7, F.lit(0x7FF), F.lit(1))
-    return boxes_write.framed_streams(rows, header, F.col("payload")).select(F.col("stream_id").cast("string").alias("path"), "content")
+    return boxes_write.framed_streams(rows, header, F.col("payload")).select(F.col("stream_id").cast("string").alias("path"), "content", "n")
 
 
 def m4a_files(spark, d) -> DataFrame:

@@ -203,7 +203,7 @@ def framed(header: Column, payload: Column) -> Column:
 
 
 def framed_streams(units: DataFrame, header: Column, payload: Column) -> DataFrame:
-    """One row (stream_id, content) per stream: its framed units in order of au_idx."""
+    """One row (stream_id, content, n) per stream: its framed units in order of au_idx, and how many they are."""
     units.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")  # as for payload_lists
     parts = F.sort_array(F.collect_list(F.struct("au_idx", framed(header, payload).alias("b"))))
-    return units.groupBy("stream_id").agg(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["b"])).alias("content"))
+    return units.groupBy("stream_id").agg(F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x["b"])).alias("content"), F.count("*").alias("n"))

@@ -227,3 +227,12 @@ def test_fragments_of_a_known_shape_are_not_parsed_again(monkeypatch):
     want = list(fragments.samples_of(WHOLE))
     monkeypatch.setattr(fragments, "run", None)  # the plain way
     assert list(fragments.samples_of(WHOLE)) == want and want[-1][6] is None
+
+
+def test_framed_streams_are_built_and_counted_at_once(spark):
+    from brookwave.plans import fragmented as plans
+    from tests.comparing import SF
+
+    plan = plans.probe_framed(spark, SF)._jdf.queryExecution()
+    assert plan.toString().count("Exchange hashpartitioning") == 1 and plan.sparkPlan().toString().count("Window") == 1
+    assert plan.optimizedPlan().toString().count("array_join(") == 1  # a tag is put together once
