@@ -12,11 +12,12 @@ import struct
 from collections.abc import Iterator
 from itertools import islice, pairwise, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookwave.sources.media import MOST_ROWS, _exploded, boxes_of
+from brookwave.sources.media import CONTAINERS, MOST_HELD, MOST_ROWS, boxes_of, contents
 
 TRACK = (
     "path string, track int, handler string, timescale long, duration long, movie_timescale long, config binary, edit_start long, edit_duration long, edits int, "
@@ -188,16 +189,67 @@ def tracks(files: DataFrame) -> DataFrame:
     kinds |= {f"array<struct<{a}:long,{b}:long>>": pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])) for a, b in (("count", "delta"), ("first", "per"))}
     schema = [(n, kinds[k]) for n, k in re.findall(r"(\w+) (array<struct<.*?>>|[\w<>]+)", TRACK)]
 
-    def rows_of(content: bytes) -> Iterator[tuple]:
-        found = False
+    at_sizes = NAMES.index("sizes")
+
+    def facts_of(content: bytes) -> list[tuple]:
+        """(what a track's row says but its path and sizes, its sizes as bytes or null)."""
+        index = _lone_index(content)
+        if index and (said := _SEEN.of(index)):
+            facts, at, length = said
+            return [(facts, index[at : at + length])]
+        found, out = False, []
         for t in tracks_of("", content):
             t["usable"] = not found and t["handler"] == "soun" and t["config"] is not None and not t["error"]
             found = found or t["usable"]
             for c, (a, b) in (("stts", ("count", "delta")), ("stsc", ("first", "per"))):
                 t[c] = None if t[c] is None else [{a: x, b: y} for x, y in t[c]]
-            yield tuple(t[n] for n in NAMES[1:])
+            sizes = None if t["sizes"] is None else struct.pack(f">{len(t['sizes'])}I", *t["sizes"])
+            out.append((tuple(t[n] for n in NAMES if n not in ("path", "sizes")), sizes))
+        if index and len(out) == 1 and t["sizes"] and not t["error"]:
+            places = unread(index)
+            tables = [x for x in places if index[x[0] - 16 : x[0] - 12] == b"stsz"]
+            if len(tables) == 1 and index[tables[0][0] : sum(tables[0])] == out[0][1]:
+                _SEEN.add(index, places, (out[0][0], *tables[0]))
+        return out
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        different = {id(r[1]): r[1] for r in rows}
+        place = {k: n for n, k in enumerate(different)}
+        which = pa.array([place[id(r[1])] for r in rows], pa.int64())
+        columns = [pa.array(c, k).take(which) for c, (n, k) in zip(zip(*different.values(), strict=True), (x for x in schema if x[0] not in ("path", "sizes")), strict=True)]
+        ends = np.cumsum([0, *(len(r[2] or b"") // 4 for r in rows)])
+        values = np.frombuffer(b"".join(r[2] or b"" for r in rows), ">u4").astype(np.int64)
+        sizes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array([r[2] is None for r in rows]))
+        columns.insert(at_sizes - 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *columns], names=NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0  # of many small files, or of a large one
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), contents(b.column(1)), strict=True):
+                rows += [(path, *x) for x in facts_of(content)]
+                held += len(content)
+                if rows and (len(rows) >= MOST_ROWS or held > MOST_HELD):
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return files.select("path", "content").mapInArrow(run, TRACK)
+
+
+_SEEN = Remembered()
+
 
-    return files.select("path", "content").mapInArrow(_exploded(rows_of, schema), TRACK)
+def _lone_index(data: bytes) -> bytes | None:
+    """The index of a file, if what its tracks say can lie in nothing else."""
+    index = None
+    for at, size, _, kind, _, _, fault in boxes_of(data, deepest=0):
+        if kind == "mvhd" or kind.encode("latin-1") in CONTAINERS:
+            if fault or kind != "moov" or index:
+                return None
+            index = data[at : at + size]
+    return index
 
 
 def first_usable(found: DataFrame) -> DataFrame:

@@ -164,3 +164,26 @@ def test_files_made_together_are_those_made_alone():
                 assert (content, error) == (boxes_write.m4a([x or b"" for x in parts], config, priming), None)
             except ValueError as e:
                 assert (content, error) == (None, str(e))
+
+
+def test_tracks_of_alike_indices_are_remembered(spark, monkeypatch):
+    r = random.Random(6)
+    config = configs.built(2, 24000, 2)
+    files = [boxes_write.m4a([r.randbytes(r.randint(0, 60)) for _ in range(n)], config, 1024) for n in (1, 2, 3) for _ in range(20)]
+    files += [b"", files[0] + files[1], files[0][:-3], boxes_write.m4a([], config)] + [files[0][:k] + bytes([files[0][k] ^ 1]) + files[0][k + 1 :] for k in range(30, len(files[0]), 3)]
+    rows = spark.createDataFrame([(str(k), bytearray(f)) for k, f in enumerate(files + files)], "path string, content binary").coalesce(1)
+    got = sorted((int(x.path), x.track, x.handler, x.config, x.sizes, x.n_sizes, x.chunks, x.stts, x.edit_start, x.edit_duration, x.error, x.usable) for x in movies.tracks(rows).collect())
+    want = []
+    for k, f in enumerate(files + files):
+        found = False
+        for t in movies.tracks_of("", f):
+            usable = not found and t["handler"] == "soun" and t["config"] is not None and not t["error"]
+            found = found or usable
+            want.append((k, t["track"], t["handler"], t["config"], t["sizes"], t["n_sizes"], t["chunks"], t["stts"], t["edit_start"], t["edit_duration"], t["error"], usable))
+    assert [tuple(list(map(tuple, v)) if n == 7 and v is not None else bytes(v) if n == 3 and v is not None else v for n, v in enumerate(x)) for x in got] == sorted(want, key=lambda x: x[:2])
+    seen = movies.Remembered()
+    for f in files[:60]:
+        index = movies._lone_index(f)
+        if seen.of(index) is None:
+            seen.add(index, movies.unread(index), (1,))
+    assert seen.n == 3  # one a number of units
