@@ -26,6 +26,7 @@ MOST_ROWS, MOST_HELD = 4096, 8 << 20
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 _HEAD = struct.Struct(">I4s").unpack_from
 FRAMES = "path string, au_idx int, off long, frame_len int, profile int, fs_index int, sample_rate int, ch_cfg int, n_rdb int, payload binary, error string"
+TILES = "path string, frames long"
 BOXES = "path string, pos long, size long, header_len int, type string, depth int, parent_pos long, error string"
 
 
@@ -78,6 +79,15 @@ def frames_of(data: bytes) -> Iterator[tuple]:
         at, n = at + size, n + 1
 
 
+def tiles_of(data: bytes) -> Iterator[tuple]:
+    """The number of frames, null if they don't tile the bytes: the one row of a file."""
+    n = total = 0
+    for _, _, size, *_, fault in frames_of(data):
+        if not fault:
+            n, total = n + 1, total + size
+    yield (n if n and total == len(data) else None,)
+
+
 def boxes_of(data: bytes, most_depth: int = 16, deepest: int | None = None) -> Iterator[tuple]:
     """(position, size, header length, type, depth, parent's position, error) of each box, parents first.
 
@@ -162,5 +172,4 @@ def boxes(files: DataFrame, deepest: int | None = None) -> DataFrame:
 
 def exact_frames(files: DataFrame) -> DataFrame:
     """path and the number of frames, null if they don't tile the whole file."""
-    per = adts_frames(files).where("error is null").groupBy("path").agg(F.count("*").alias("n"), F.sum("frame_len").alias("total"))
-    return files.select("path", F.length("content").alias("size")).join(per, "path", "left").select("path", F.when(F.col("total") == F.col("size"), F.col("n")).alias("frames"))
+    return files.select("path", "content").mapInArrow(_exploded(tiles_of, _arrow(TILES)), TILES)

@@ -187,3 +187,8 @@ def test_tracks_of_alike_indices_are_remembered(spark, monkeypatch):
         if seen.of(index) is None:
             seen.add(index, movies.unread(index), (1,))
     assert seen.n == 3  # one a number of units
+
+
+def test_frames_are_tiled_without_a_join(spark):
+    plan = containers.tiled_frames(spark, SF)._jdf.queryExecution().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
