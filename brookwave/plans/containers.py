@@ -136,13 +136,8 @@ def config_round_trip(spark, d):
 @query(f"""WITH u AS ({UNITS})
 SELECT stream, au // 3 AS packet, au % 3 AS sub_frame, size AS payload_size, 2::BIGINT AS config_size FROM u""")
 def packet_walk(spark, d):
-    lists = units(spark, d).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("au_idx", "payload"))).alias("u")).select("stream_id", F.transform("u", lambda x: x["payload"]).alias("u"))
     config = configs.built(2, 48000, 2)
-
-    def make(stream, parts):
-        return str(stream), b"".join(loas.packet(config, 16, [bytes(x) for x in parts[k : k + 3]]) for k in range(0, len(parts), 3))
-
-    files = lists.mapInArrow(in_arrow(make, "path string, content binary"), "path string, content binary")
+    files = boxes_write.files_of(units(spark, d), lambda parts: b"".join(loas.packet(config, 16, parts[k : k + 3]) for k in range(0, len(parts), 3)))
     return loas.loas_units(files).where("error is null").select(F.col("path").cast("long").alias("stream"), F.col("packet").cast("long"), F.col("sub_frame").cast("long"), F.length("payload").cast("long").alias("payload_size"), F.length("config").cast("long").alias("config_size"))
 
 

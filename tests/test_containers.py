@@ -189,6 +189,20 @@ def test_tracks_of_alike_indices_are_remembered(spark, monkeypatch):
     assert seen.n == 3  # one a number of units
 
 
+def test_multiplex_configurations_are_parsed_once(monkeypatch):
+    config, units = configs.built(2, 48000, 2), [b"a" * n for n in (0, 3, 254, 255, 600)]
+    stream = b"".join(loas.packet(config, 16, units[k : k + 2]) for k in (0, 2, 4)) + loas.packet(configs.built(2, 24000, 1, True), 25, units)
+    odd = [stream[:k] + bytes([stream[k] ^ x]) + stream[k + 1 :] for k in range(16) for x in (1, 2, 16, 128)] + [stream[:k] for k in range(0, 30)]
+    monkeypatch.setattr(loas, "_SEEN", {})
+    got = [list(loas.units_of(d)) for d in [stream, *odd, stream]]
+    assert [x[6] for x in got[0]] == units + units and got[0] == got[-1]
+    calls = []
+    monkeypatch.setattr(loas, "mux_config", lambda r, f=loas.mux_config: calls.append(1) or f(r))
+    assert list(loas.units_of(stream)) == got[0] and not calls
+    monkeypatch.setattr(loas, "_remembered", loas.mux_config)
+    assert got == [list(loas.units_of(d)) for d in [stream, *odd, stream]]
+
+
 def test_frames_are_tiled_without_a_join(spark):
     plan = containers.tiled_frames(spark, SF)._jdf.queryExecution().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
