@@ -206,3 +206,10 @@ def test_multiplex_configurations_are_parsed_once(monkeypatch):
 def test_frames_are_tiled_without_a_join(spark):
     plan = containers.tiled_frames(spark, SF)._jdf.queryExecution().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_sorted_units_are_not_sorted_again(spark):
+    """A hash aggregation would fall back to sorting all rows twice more, held beside the window's own."""
+    for query in (containers.frame_walk, containers.packet_walk, containers.file_timing):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortAggregate") == 1 and "HashAggregate" not in plan and plan.count("Sort [") == 1
