@@ -7,12 +7,14 @@ column ``length``, so the bytes of a file over the limit are never read.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ from brookwave.functions.scalars import bits, word
 RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 #: Rows of a batch, and bytes of the files that they come from.
 MOST_ROWS, MOST_HELD = 4096, 8 << 20
+#: Bytes of files whose frames are walked together, and files too few for that.
+TOGETHER, FEW = 1 << 20, 32
+#: Bytes before the payload by the bit of no check sum and the number of blocks; rates by all four bits.
+_STARTS, _RATES = np.array([9, 11, 13, 15, 7, 7, 7, 7]), np.array(RATES + (0,) * 3)
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"mvex", b"moof", b"traf", b"udta"}
 _HEAD = struct.Struct(">I4s").unpack_from
@@ -53,13 +59,12 @@ def container(content: Column) -> Column:
     return F.when(is_adts(content), "adts").when(is_latm(content), "latm").when(is_isobmff(content), "isobmff")
 
 
-def frames_of(data: bytes) -> Iterator[tuple]:
-    """(index, offset, header fields, payload, error) of each frame.
+def frames_of(data: bytes, at: int = 0, n: int = 0) -> Iterator[tuple]:
+    """(index, offset, header fields, payload, error) of each frame, from the n-th at ``at`` on.
 
     Lost sync moves on by a byte; any other fault of a header is an error row and the end; a partial
     tail is dropped.
     """
-    at = n = 0
     while at + 7 <= len(data):
         w = int.from_bytes(data[at : at + 7], "big")
         if w >> 44 != 0xFFF:
@@ -160,9 +165,100 @@ def _arrow(ddl: str) -> list[tuple[str, pa.DataType]]:
     return [(a, kinds[b]) for a, b in (x.split() for x in ddl.split(", "))]
 
 
+def _heads(data: bytes) -> np.ndarray:
+    """The eight bytes from each byte on as a number; the seven of a header are its upper ones."""
+    return np.ndarray(len(data), ">u8", data + bytes(8), strides=(1,))
+
+
+def places_of(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """(rows of each file, place of each row in the data, fault of a file's last row) of files that lie behind each other.
+
+    The rows are those of frames_of. A step takes the next frame of every file; a file that has lost its sync or has a
+    fault, and the last few that go on, are left to frames_of.
+    """
+    heads, file, at, end, n = _heads(data), np.arange(len(ends) - 1), ends[:-1], ends[1:], 0
+    found, left = [], []
+    while True:
+        whole = at + 7 <= end
+        file, at, end = file[whole], at[whole], end[whole]
+        if len(file) < FEW:
+            left.append((file, at, n))
+            break
+        w = heads[at].astype(np.uint64).view(np.int64) >> 8 & 0xFFFFFFFFFFFFFF
+        size = w >> 13 & 0x1FFF
+        plain = (w >> 44 == 0xFFF) & (w >> 41 & 3 == 0) & ((w >> 34 & 15) < len(RATES)) & (size >= _STARTS[w >> 38 & 4 | w & 3])
+        if not plain.all():
+            left.append((file[~plain], at[~plain], n))
+        whole = plain & (at + size <= end)
+        file, at, end = file[whole], at[whole], end[whole]
+        found.append((file, at, np.full(len(file), n)))
+        at, n = at + size[whole], n + 1
+    rest, faults = array("q"), {}
+    for files, places, n in left:
+        for k, place in zip(files.tolist(), places.tolist(), strict=True):
+            begin = int(ends[k])
+            for index, off, *_, fault in frames_of(data[begin : ends[k + 1]], place - begin, n):
+                rest.extend((k, begin + off, index))
+                if fault:
+                    faults[k] = fault
+    found.append(np.frombuffer(rest, np.int64).reshape(-1, 3).T)
+    file, at, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    counts = np.bincount(file, minlength=len(ends) - 1)
+    placed = np.empty(len(at), np.int64)
+    placed[(np.cumsum(counts) - counts)[file] + n] = at
+    return counts, placed, faults
+
+
+def _frames_together(paths: pa.Array, data: bytes, ends: np.ndarray) -> pa.RecordBatch:
+    counts, place, faults = places_of(data, ends)
+    file, last = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts)
+    w = _heads(data)[place].astype(np.uint64).view(np.int64) >> 8 & 0xFFFFFFFFFFFFFF
+    size, start, index = w >> 13 & 0x1FFF, _STARTS[w >> 38 & 4 | w & 3], w >> 34 & 15
+    bad = np.zeros(len(w), bool)
+    bad[[last[k] - 1 for k in faults]] = True
+    held = np.concatenate([[0], np.cumsum(np.where(bad, 0, size - start))])
+    picked = np.frombuffer(data, np.uint8)[np.repeat(place + start - held[:-1], np.diff(held)) + np.arange(held[-1])]
+    payload = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(held.astype(np.int32)), pa.py_buffer(picked)])
+    error = pa.nulls(len(w), pa.string())
+    if faults:
+        payload = pc.if_else(pa.array(~bad), payload, pa.scalar(None, pa.binary()))
+        error = pa.array([faults[k] if b else None for k, b in zip(file.tolist(), bad.tolist(), strict=True)], pa.string())
+    fields = (np.arange(len(w)) - (last - counts)[file], place - ends[file], size, w >> 38 & 3, index)
+    columns = [paths.take(pa.array(file)), *fields, pa.array(_RATES[index], pa.int32(), mask=bad), w >> 30 & 7, (w & 3) + 1, payload, error]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype())) for c, (_, k) in zip(columns, _arrow(FRAMES), strict=True)], names=[x for x, _ in _arrow(FRAMES)])
+
+
+def _tiles_together(paths: pa.Array, data: bytes, ends: np.ndarray) -> pa.RecordBatch:
+    counts, place, faults = places_of(data, ends)
+    file, last = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts)
+    size = (_heads(data)[place] >> 21 & 0x1FFF).astype(np.int64)
+    size[[last[k] - 1 for k in faults]] = 0
+    counts[list(faults)] -= 1
+    tiled = (counts > 0) & (np.bincount(file, size, len(counts)) == np.diff(ends))
+    return pa.RecordBatch.from_arrays([paths, pa.array(counts, pa.int64(), mask=~tiled)], names=["path", "frames"])
+
+
+def _together(made, rows_of, ddl: str):
+    """Files of a batch together, up to so many bytes; a few long ones each by itself."""
+    alone = _exploded(rows_of, _arrow(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (data, ends), i = flat(b.column(1)), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + TOGETHER, "right")) - 1)
+                if j - i < FEW:
+                    yield from alone(iter([b.slice(i, j - i)]))
+                else:
+                    yield made(b.column(0).slice(i, j - i), bytes(data[ends[i] : ends[j]]), ends[i : j + 1] - ends[i])
+                i = j
+
+    return run
+
+
 def adts_frames(files: DataFrame) -> DataFrame:
     """One row per frame of (path, content) rows."""
-    return files.select("path", "content").mapInArrow(_exploded(frames_of, _arrow(FRAMES)), FRAMES)
+    return files.select("path", "content").mapInArrow(_together(_frames_together, frames_of, FRAMES), FRAMES)
 
 
 def boxes(files: DataFrame, deepest: int | None = None) -> DataFrame:
@@ -172,4 +268,4 @@ def boxes(files: DataFrame, deepest: int | None = None) -> DataFrame:
 
 def exact_frames(files: DataFrame) -> DataFrame:
     """path and the number of frames, null if they don't tile the whole file."""
-    return files.select("path", "content").mapInArrow(_exploded(tiles_of, _arrow(TILES)), TILES)
+    return files.select("path", "content").mapInArrow(_together(_tiles_together, tiles_of, TILES), TILES)

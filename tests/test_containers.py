@@ -213,3 +213,16 @@ def test_sorted_units_are_not_sorted_again(spark):
     for query in (containers.frame_walk, containers.packet_walk, containers.file_timing):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("SortAggregate") == 1 and "HashAggregate" not in plan and plan.count("Sort [") == 1
+
+
+def test_framed_units_are_joined_once(spark):
+    """A fold would copy a stream once for each of its units."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    units = [(s, k, bytearray(r.randbytes(r.randint(0, 40)))) for s, n in (("x", 300), ("y", 1), ("z", 2)) for k in range(n)] + [("n", 0, bytearray(b"a")), ("n", 1, None), ("t", 0, bytearray(b"b")), ("t", 0, bytearray(b"a"))]
+    d = spark.createDataFrame(r.sample(units, len(units)), "stream_id string, au_idx int, payload binary").repartition(4)
+    made = boxes_write.framed_streams(d, F.unhex(F.lpad(F.hex("au_idx"), 4, F.lit("0"))), F.col("payload"))
+    want = {s: b"".join(k.to_bytes(2, "big") + u for t, k, u in units if t == s) for s in "xyz"} | {"n": None, "t": b"\0\0a\0\0b"}
+    assert {x.stream_id: (x.content and bytes(x.content), x.n) for x in made.collect()} == {s: (c, sum(u[0] == s for u in units)) for s, c in want.items()}
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()

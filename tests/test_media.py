@@ -41,6 +41,30 @@ def test_files_of_over_a_million_frames(spark):
     assert [r.frames for r in media.exact_frames(d).collect()] == [n]
 
 
+def test_frames_walked_together_are_those_walked_alone(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    plain = [b"".join(frame(r.randbytes(r.randint(0, 50)), r.randint(0, 12), r.randint(0, 7)) for _ in range(n)) for n in range(8) for _ in range(40)]
+    odd = [x[: -r.randint(1, 9)] for x in plain[60:90]] + [r.randbytes(9) + x + b"\xff" * 9 for x in plain[90:120]] + [STREAM * 9, b"", None]
+    for x in plain[120:]:
+        k = r.randrange(min(7, len(x)))
+        odd.append(x[:k] + bytes([x[k] ^ 1 << r.randrange(8)]) + x[k + 1 :])
+    r.shuffle(files := plain + odd)
+    ways = ((media._frames_together, media.frames_of, media.FRAMES), (media._tiles_together, media.tiles_of, media.TILES))
+    batch = pa.RecordBatch.from_arrays([pa.array([*map(str, range(len(files)))]), pa.array(files, pa.binary())], names=["path", "content"])
+    for most in (media.TOGETHER, 3000):
+        monkeypatch.setattr(media, "TOGETHER", most)
+        for made, rows_of, ddl in ways:
+            for b in (batch, batch.slice(50), batch.slice(0, 40), batch.slice(0, 2), batch.slice(0, 0)):
+                got = [x for t in media._together(made, rows_of, ddl)(iter([b])) for x in t.to_pylist()]
+                assert got == [x for t in media._exploded(rows_of, media._arrow(ddl))(iter([b])) for x in t.to_pylist()]
+    monkeypatch.setattr(media, "frames_of", None)  # frames of plain files are found in as many steps as the longest has
+    monkeypatch.setattr(media, "TOGETHER", 1 << 20)
+    batch = pa.RecordBatch.from_pydict({"path": [*map(str, range(320))], "content": plain})
+    assert next(media._together(*ways[0])(iter([batch]))).num_rows == 40 * sum(range(8))
+
+
 def test_any_cut_gives_the_same_frames():
     whole = advanced(STREAM, 0, 0, 1 << 16)[0]
     for seed in range(20):
